@@ -129,27 +129,28 @@ def slice_confusion(preds: DataFrame, labels: LabelSet, model: str = "model",
     """Confusion counts per model, slice and label in one pass over the predictions.
 
     Slices overlap. Rows are counted per combination of slices first; the few counted rows, not the
-    predictions, are then copied to each slice. Models with `fine` in their name also get the slices
-    `open` and `closed`, which keep all rows and only some labels.
+    predictions, are then copied to each slice. A slice without rows keeps zero counts. Models with
+    `fine` in their name also get the slices `open` and `closed`, which keep all rows and only some
+    labels.
     """
     combined = confusion(preds, labels, [model, slices])
-    totals = ("tp", "fp", "fn", "tn", "n", "exact", "exact_open", "exact_closed")
-    sliced = (
-        combined.withColumn("slice", F.explode(F.split(slices, ",")))
-        .groupBy(model, "slice", "idx", "label")
-        .agg(*[F.sum(c).alias(c) for c in totals])
-    )
-    opened = F.col("label").isin(sorted(labels.open_labels)) if labels.open_labels else F.lit(False)
-    side = F.when(opened, OPEN).otherwise(CLOSED)
-    copies = F.when(
-        (F.col("slice") == ALL) & F.col(model).contains("fine"), F.array(F.col("slice"), side)
-    ).otherwise(F.array("slice"))
+    every = F.array(*[F.lit(s) for s in slice_names()])
+    member = F.when(F.col("slice").isin(OPEN, CLOSED), ALL).otherwise(F.col("slice"))
+    opened = F.array_contains(F.array(*[F.lit(n) for n in sorted(labels.open_labels)])
+                              .cast("array<string>"), F.col("label"))
+    exact = (F.when(F.col("slice") == OPEN, F.col("exact_open"))
+             .when(F.col("slice") == CLOSED, F.col("exact_closed")).otherwise(F.col("exact")))
+    wanted = (F.when(F.col("slice") == OPEN, F.col(model).contains("fine") & opened)
+              .when(F.col("slice") == CLOSED, F.col(model).contains("fine") & ~opened)
+              .otherwise(F.lit(True)))
+
+    def inside(count: Column) -> Column:
+        return F.sum(F.when(F.array_contains(F.split(slices, ","), member), count).otherwise(0))
+
     return (
-        sliced.withColumn("slice", F.explode(copies))
-        .withColumn("exact", F.when(F.col("slice") == OPEN, F.col("exact_open"))
-                    .when(F.col("slice") == CLOSED, F.col("exact_closed"))
-                    .otherwise(F.col("exact")))
-        .drop("exact_open", "exact_closed")
+        combined.withColumn("slice", F.explode(every)).filter(wanted)
+        .groupBy(model, "slice", "idx", "label")
+        .agg(*[inside(F.col(c)).alias(c) for c in (*COUNTS, "n")], inside(exact).alias("exact"))
     )
 
 
@@ -157,25 +158,10 @@ def slice_names() -> list[str]:
     return [ALL, *LENGTH_RANGES, *[f"support_{k}" for k in SUPPORT_LEVELS], OPEN, CLOSED]
 
 
-def complete_slices(conf: DataFrame, labels: LabelSet, model: str = "model") -> DataFrame:
-    """Adds all-zero rows for slices that no prediction falls into.
-
-    Works on counted rows: each model's row of the `all` slice is unfolded to the slices it must have.
-    """
-    shared = [s for s in slice_names() if s not in (OPEN, CLOSED)]
-    unfolded = conf.filter(F.col("slice") == ALL).select(
-        model, "idx", "label", F.explode(F.array(*[F.lit(s) for s in shared])).alias("slice"),
-        *[F.lit(0).cast("bigint").alias(c) for c in (*COUNTS, "n", "exact")])
-    totals = [F.sum(c).alias(c) for c in (*COUNTS, "n", "exact")]
-    return (conf.select(unfolded.columns).unionByName(unfolded)
-            .groupBy(model, "slice", "idx", "label").agg(*totals))
-
-
 def score_slices(preds: DataFrame, labels: LabelSet, model: str = "model",
                  slices: str = "slices") -> DataFrame:
     """Macro, micro and exact-match scores per model and slice in one pass."""
-    conf = complete_slices(slice_confusion(preds, labels, model, slices), labels, model)
-    return average(conf, [model, "slice"])
+    return average(slice_confusion(preds, labels, model, slices), [model, "slice"])
 
 
 def sections(conf: DataFrame, dim: DataFrame, by: list[str]) -> DataFrame:
@@ -207,10 +193,10 @@ def report(preds: DataFrame, labels: LabelSet) -> DataFrame:
     hits = sum((F.when(t & p, 1).otherwise(0) for t, p in at), F.lit(0))
     said = sum((F.when(p, 1).otherwise(0) for _, p in at), F.lit(0))
     real = sum((F.when(t, 1).otherwise(0) for t, _ in at), F.lit(0))
-    rows = preds.select(
+    sampled = preds.select(
         "truth", "pred", safe_div(hits, said).alias("sp"), safe_div(hits, real).alias("sr"),
         safe_div(2 * hits, said + real).alias("sf"))
-    cells = rows.select("sp", "sr", "sf", F.posexplode(
+    cells = sampled.select("sp", "sr", "sf", F.posexplode(
         F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))))
     truth, pred = F.col("col.t") == 1, F.col("col.p") == 1
     conf = cells.groupBy(F.col("pos").alias("idx")).agg(
@@ -227,14 +213,16 @@ def report(preds: DataFrame, labels: LabelSet) -> DataFrame:
     def weighted(c: str) -> Column:
         return safe_div(F.sum(F.col(c) * F.col("support")), total)
 
+    rows = {
+        "micro avg": (precision(tp, fp), recall(tp, fn), f1(tp, fp, fn)),
+        "macro avg": (F.avg("p"), F.avg("r"), F.avg("f1")),
+        "weighted avg": (weighted("p"), weighted("r"), weighted("f1")),
+        "samples avg": (F.max("sp"), F.max("sr"), F.max("sf")),
+    }
     averages = scored.agg(
-        F.array(
-            F.struct(F.lit("micro avg").alias("row"), precision(tp, fp).alias("p"),
-                     recall(tp, fn).alias("r"), f1(tp, fp, fn).alias("f1")),
-            F.struct(F.lit("macro avg"), F.avg("p"), F.avg("r"), F.avg("f1")),
-            F.struct(F.lit("weighted avg"), weighted("p"), weighted("r"), weighted("f1")),
-            F.struct(F.lit("samples avg"), F.max("sp"), F.max("sr"), F.max("sf")),
-        ).alias("rows"), total.alias("support"),
+        F.array(*[F.struct(F.lit(name).alias("row"), p.alias("p"), r.alias("r"), f.alias("f1"))
+                  for name, (p, r, f) in rows.items()]).alias("rows"),
+        total.alias("support"),
     ).select(F.posexplode("rows"), "support").select(
         "col.row", "col.p", "col.r", "col.f1", "support",
         (F.col("pos") + width).alias("position"))

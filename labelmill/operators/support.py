@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.labelsets import LabelSet
+from labelmill.operators.labeling import only_closed, only_open
 
 # Inclusive word-count ranges. Neighbours share their border on purpose.
 LENGTH_RANGES = {
@@ -42,18 +43,19 @@ def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str
     warnings supports each, names outside the vocabulary drop out, units without a mapped tag get
     zeros. With `coarse`, the same counts rolled up to coarse labels come along.
 
-    Only mapped tags reach the counters: Spark broadcasts the tag map while it is below the broadcast
-    threshold and otherwise joins by tag, with adaptive splitting of frequent tags. One empty row per
-    unit, from a scan of the id column alone, keeps units without a mapped tag. Counters are folded
-    per task, so about one row per unit crosses the shuffle.
+    Spark broadcasts the tag map while it is below the broadcast threshold and otherwise joins by tag,
+    with adaptive splitting of frequent tags. Only mapped tags, and the first tag of each unit so that
+    no unit gets lost, reach the counters. These are folded per task, so about one row per unit
+    crosses the shuffle.
     """
     spark = tags.sparkSession
     dim = labels.dim(spark).select(F.col("label").alias("warning"), "idx", "coarse")
     mapped = tag_map.select("tag", "warning").join(F.broadcast(dim), "warning").drop("warning")
-    hits = tags.select(unit, F.explode("tags").alias("tag")).join(mapped, "tag").drop("tag")
-    empty = tags.select(
-        unit, F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("coarse"))
-    rows = hits.unionByName(empty)
+    rows = (
+        tags.select(unit, F.posexplode_outer("tags").alias("pos", "tag"))
+        .join(mapped, "tag", "left")
+        .filter(F.col("idx").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
+    )
     counters = [F.count_if(F.col("idx") == i).alias(f"_f{i}") for i in range(len(labels.labels))]
     vectors = {"support_fine": F.array(*[F.col(f"_f{i}") for i in range(len(labels.labels))])}
     if coarse is not None:
@@ -66,8 +68,6 @@ def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str
 
 def work_records(works: DataFrame, tag_map: DataFrame, fine: LabelSet, coarse: LabelSet) -> DataFrame:
     """Work metadata with support vectors and the fine labels split by openness."""
-    from labelmill.operators.labeling import only_closed, only_open
-
     support = tag_support(works.select("work_id", F.col("freeform").alias("tags")), tag_map, fine,
                           coarse=coarse)
     return works.join(support, "work_id").select(

@@ -175,8 +175,8 @@ ORACLES = {
         low AS (SELECT DISTINCT doc_id, k FROM hits JOIN fine USING (label) JOIN levels ON n < k)
         SELECT k, count(*) AS docs FROM documents d CROSS JOIN levels ANTI JOIN low USING (doc_id, k) GROUP BY 1""",
     "threshold_scores": """SELECT vec_id,
-        CAST(len(list_filter(embedding, x -> 1.0 / (1.0 + exp(-(x::DOUBLE))) >= 0.5)) AS INT) AS at_least,
-        CAST(len(list_filter(embedding, x -> 1.0 / (1.0 + exp(-(x::DOUBLE))) > 0.5)) AS INT) AS above
+        CAST(len([x for x in embedding if 1.0 / (1.0 + exp(-(x::DOUBLE))) >= 0.5]) AS INT) AS at_least,
+        CAST(len([x for x in embedding if 1.0 / (1.0 + exp(-(x::DOUBLE))) > 0.5]) AS INT) AS above
         FROM embeddings""",
     "hydrate_outcome": r"""SELECT CASE WHEN page_id IS NULL THEN 'missing'
             WHEN regexp_matches(html, '<body.*</body', 's') THEN 'ok' ELSE 'malformed' END AS status,

@@ -100,8 +100,8 @@ ORACLES = {
     "doc_chapters": r"""SELECT doc_id, CAST(i AS INT) AS chapter, CAST(length(c[i]) AS INT) AS length
         FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i
               FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents))""",
-    "prepare_dataset": f"""SELECT doc_id, md5(array_to_string(list_transform(string_split(text, chr(10)),
-            x -> {clean_sql(html_text_sql('x'))}), ' ')) AS md5, quality::VARCHAR || toxic::VARCHAR AS labels
+    "prepare_dataset": f"""SELECT doc_id, md5(array_to_string([{clean_sql(html_text_sql('x'))}
+            for x in string_split(text, chr(10))], ' ')) AS md5, quality::VARCHAR || toxic::VARCHAR AS labels
         FROM documents JOIN labels USING (doc_id)""",
     "tokenize": f"""WITH {_WORDS} SELECT doc_id, CAST(len(tokens) AS INT) AS tokens,
         CAST(len(list_distinct(tokens)) AS INT) AS distinct_tokens FROM words""",
@@ -109,10 +109,13 @@ ORACLES = {
         CAST(greatest(len(tokens) - {MAX_TOKENS}, 0) AS INT) AS dropped,
         CAST(greatest({MAX_TOKENS} - len(tokens), 0) AS INT) AS padded FROM words""",
     "ngrams": f"""WITH {_WORDS},
-        at AS (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM words),
-        grams AS (SELECT n, array_to_string(tokens[i:i + n - 1], ' ') AS term
-                  FROM at CROSS JOIN (VALUES (1), (2), (3)) v(n) WHERE i + n - 1 <= len(tokens))
-        SELECT CAST(n AS INT) AS n, term, count(*) AS count FROM grams GROUP BY n, term
+        spots AS (SELECT doc_id, unnest(tokens) AS w, unnest(range(1, len(tokens) + 1)) AS i FROM words),
+        runs AS (SELECT w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM spots
+                 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+        grams AS (SELECT 1 AS n, w AS term FROM runs
+                  UNION ALL SELECT 2, w || ' ' || w2 FROM runs WHERE w2 IS NOT NULL
+                  UNION ALL SELECT 3, w || ' ' || w2 || ' ' || w3 FROM runs WHERE w3 IS NOT NULL)
+        SELECT n, term, count(*) AS count FROM grams GROUP BY n, term
         ORDER BY count DESC, n, term LIMIT {TOP_NGRAMS}""",
     "classify_text_rules": r"""SELECT CASE
             WHEN regexp_matches(text, '^Translation into ([^\n\r]*?) available:\s*([^\n\r]*)\s*by\s*([^\n\r]*?)\s*') THEN 'translation_into'
