@@ -1,4 +1,9 @@
-"""Cleaning, tokens and n-grams over whole texts, as native column expressions."""
+"""Cleaning, tokens and n-grams over whole texts, as native column expressions.
+
+Arrays worked out from a text are unfolded with the `_outer` generators and a null filter behind
+them: for the plain ones Spark infers `size(array) > 0` filters that work the array out twice more,
+before any rebalancing of the scan.
+"""
 
 from __future__ import annotations
 
@@ -43,17 +48,16 @@ def ngrams(words: Column, low: int, high: int | None = None) -> Column:
     high = low if high is None else high
     if not 1 <= low <= high:
         raise ValueError(f"bad n-gram range ({low}, {high})")
-
-    def runs(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-        return F.when(
-            F.size(words) >= n,
-            F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")),
-        ).otherwise(F.array().cast("array<string>"))
-
-    return runs(low) if low == high else F.concat(*[runs(n) for n in range(low, high + 1)])
+    runs, wanted = words, []
+    for n in range(1, high + 1):
+        if n > 1:
+            # Each run of n tokens is a run of n - 1 tokens and the token after it.
+            more = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            runs = F.zip_with(F.slice(runs, 1, more), F.slice(words, n, more),
+                              lambda run, word: F.concat(run, F.lit(" "), word))
+        if n >= low:
+            wanted.append(runs)
+    return wanted[0] if len(wanted) == 1 else F.concat(*wanted)
 
 
 def truncate(words: Column, max_len: int) -> Column:

@@ -65,8 +65,9 @@ def meta(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 def link_rows(pages: DataFrame, key: str = "page_id", within: Column | None = None) -> DataFrame:
     """One row per link: position from 1, name, path."""
-    return pages.select(key, F.posexplode(H.links(F.col("html") if within is None else within))).select(
-        key, (F.col("pos") + 1).alias("position"), "col.name", "col.path")
+    found = H.links(F.col("html") if within is None else within)
+    return (pages.select(key, F.posexplode_outer(found)).filter(F.col("pos").isNotNull())
+            .select(key, (F.col("pos") + 1).alias("position"), "col.name", "col.path"))
 
 
 def grouped_links(rows: DataFrame, group: Column, key: str = "page_id") -> DataFrame:
@@ -117,7 +118,7 @@ def chapter_rows(pages: DataFrame, layout: Layout, key: str = "page_id") -> Data
         (i + 1).alias("number"), content.alias("content")))
     single = F.array(F.struct(
         F.lit(None).cast("int").alias("number"), first_match(html, layout.whole).alias("content")))
-    return pages.select(key, F.inline(
+    return pages.select(key, F.inline_outer(
         F.when(F.size(many) > 0, numbered).otherwise(single)))
 
 
@@ -224,7 +225,7 @@ def comment_rows(pages: DataFrame, key: str = "work_id") -> DataFrame:
 
     in_page = Window.partitionBy(key).orderBy("position")
     cut = (
-        pages.select(key, F.posexplode(F.split("html", THREAD_MARK)).alias("position", "block"))
+        pages.select(key, F.posexplode_outer(F.split("html", THREAD_MARK)).alias("position", "block"))
         .withColumn("level", F.sum(times(r"(?i)<ol\b") - times(r"(?i)</ol\s*>")).over(
             in_page.rowsBetween(Window.unboundedPreceding, -1)))
         .filter(block.rlike(r"(?i)^<li\b"))

@@ -59,7 +59,7 @@ def confusion(preds: DataFrame, labels: LabelSet, by: list[str]) -> DataFrame:
             "_exact_closed": _same_at(labels.positions(labels.closed_labels)),
         })
         .select(*by, "_exact", "_exact_open", "_exact_closed",
-                F.posexplode(F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))))
+                F.posexplode_outer(F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))))
         .filter(F.col("pos") < len(whole))
     )
     truth, pred = F.col("col.t") == 1, F.col("col.p") == 1
@@ -196,8 +196,8 @@ def report(preds: DataFrame, labels: LabelSet) -> DataFrame:
     sampled = preds.select(
         "truth", "pred", safe_div(hits, said).alias("sp"), safe_div(hits, real).alias("sr"),
         safe_div(2 * hits, said + real).alias("sf"))
-    cells = sampled.select("sp", "sr", "sf", F.posexplode(
-        F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))))
+    cells = sampled.select("sp", "sr", "sf", F.posexplode_outer(
+        F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p")))).filter(F.col("pos") < width)
     truth, pred = F.col("col.t") == 1, F.col("col.p") == 1
     conf = cells.groupBy(F.col("pos").alias("idx")).agg(
         F.count_if(truth & pred).alias("tp"), F.count_if(~truth & pred).alias("fp"),

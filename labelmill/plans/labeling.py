@@ -44,8 +44,8 @@ def label_frequency(spark, sf):
 
 def length_buckets(spark, sf):
     names = support.length_slices(F.col("n_words"))
-    return (S.doc_facts(spark, sf).select(F.explode(names).alias("bucket"))
-            .groupBy("bucket").agg(F.count("*").alias("docs")))
+    return (S.doc_facts(spark, sf).select(F.explode_outer(names).alias("bucket"))
+            .filter(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count("*").alias("docs")))
 
 
 def _full_support(spark, sf):
@@ -67,7 +67,8 @@ def support_filter(spark, sf):
     """Documents that pass each support level."""
     return (
         _full_support(spark, sf)
-        .select(F.explode(support.support_slices(F.col("support_fine"))).alias("slice"))
+        .select(F.explode_outer(support.support_slices(F.col("support_fine"))).alias("slice"))
+        .filter(F.col("slice").isNotNull())
         .groupBy(F.substring("slice", 9, 2).cast("int").alias("k")).agg(F.count("*").alias("docs"))
     )
 

@@ -142,7 +142,7 @@ def split_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(digit < 2, "train_small")))
     return (
         read_table(spark, sf, "documents").filter(F.col("doc_id") % 97 != 0)
-        .select("doc_id", F.explode(names).alias("split"))
+        .select("doc_id", F.explode_outer(names).alias("split")).filter(F.col("split").isNotNull())
     )
 
 

@@ -21,7 +21,7 @@ def clean_text(spark, sf):
 
 def doc_chapters(spark, sf):
     return S.documents(spark, sf).select(
-        "doc_id", F.posexplode(X.chapters(F.col("text")))).select(
+        "doc_id", F.posexplode_outer(X.chapters(F.col("text")))).select(
         "doc_id", (F.col("pos") + 1).alias("chapter"), F.length("col").alias("length"))
 
 
@@ -55,7 +55,8 @@ def ngrams(spark, sf):
     grams = _tokens(spark, sf).select(F.inline(F.array(*[
         F.struct(F.lit(n).alias("n"), X.ngrams(F.col("tokens"), n).alias("grams")) for n in (1, 2, 3)])))
     return (
-        grams.select("n", F.explode("grams").alias("term")).groupBy("n", "term")
+        grams.select("n", F.explode_outer("grams").alias("term")).filter(F.col("term").isNotNull())
+        .groupBy("n", "term")
         .agg(F.count("*").alias("count"))
         .orderBy(F.col("count").desc(), "n", "term").limit(TOP_NGRAMS)
     )
