@@ -163,6 +163,22 @@ TAG_TYPES = {
 }
 
 
+SERIES = r"""(?is)Part (\d+) of[^<]*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
+SERIES_MODULE = r"""(?is)<div\b[^>]*\bid\s*=\s*["']series["'][^>]*>.*?<ul\b[^>]*>(.*?)</ul\s*>"""
+CHILDREN_MODULE = r"""(?is)<div\b[^>]*\bid\s*=\s*["']children["'][^>]*>.*?<ul\b[^>]*>(.*?)</ul\s*>"""
+
+
+def series(fragment: Column) -> Column:
+    """Series a work belongs to, as (series_id, name, path, part); links of another form drop out."""
+    part, path, name = (F.regexp_extract_all(fragment, F.lit(SERIES), F.lit(i)) for i in (1, 2, 3))
+    rows = F.transform(
+        F.arrays_zip(part.alias("part"), path.alias("path"), name.alias("name")),
+        lambda s: F.struct(
+            reference_part(s["path"], "series_id").alias("series_id"), H.to_text(s["name"]).alias("name"),
+            s["path"].alias("path"), s["part"].alias("part")))
+    return F.filter(rows, lambda s: s["series_id"].isNotNull())
+
+
 def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
     """All fields of a work page as columns. Unreadable pages keep their status and null fields."""
     html = F.col("html")
@@ -178,16 +194,15 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
         return parse_count(F.coalesce(stat(page, name), F.lit("0")))
 
     planned = parse_fraction(stat(page, "chapters"))
-    series = H.inner(page, "dd", cls="series")
+    # The end of a work lists its series; works without that list name them in the page head.
+    in_series = F.coalesce(first_match(page, SERIES_MODULE), H.inner(page, "dd", cls="series"))
     return readable.select(
         key, "status",
         F.create_map(*[x for source, name in TAG_TYPES.items()
                        for x in (F.lit(name), tags_of_type(page, source))]).alias("tags"),
         H.to_text(H.inner(page, "dd", cls="language")).alias("language"),
         H.links(H.inner(page, "dd", cls="collections")).alias("collections"),
-        F.transform(H.links(series), lambda s: F.struct(
-            reference_part(s["path"], "series_id").alias("series_id"), s["name"].alias("name"),
-            s["path"].alias("path"))).alias("series"),
+        series(in_series).alias("series"),
         planned["present"].alias("number_of_chapters"),
         planned["planned"].alias("number_of_chapters_planned"),
         parse_count(stat(page, "words")).alias("number_of_words"),
@@ -199,7 +214,7 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
         module("summary").alias("summary"), module("notes").alias("notes"),
         module("end_notes").alias("endnotes"),
         F.filter(F.transform(
-            H.links(F.regexp_extract(page, r"""(?is)<div\b[^>]*\bid\s*=\s*["']children["'][^>]*>.*?<ul\b[^>]*>(.*?)</ul\s*>""", 1)),
+            H.links(F.coalesce(first_match(page, CHILDREN_MODULE), F.lit(""))),
             lambda c: reference_part(c["path"], "work_id")), lambda c: c.isNotNull()).alias("children"),
         F.struct(named_users(H.inner(page, "p", cls="kudos")).alias("users"),
                  more_users(page).alias("more_users"), guests(page).alias("guests")).alias("kudos_from"),
