@@ -52,15 +52,21 @@ def only_closed(names: Column, labels: LabelSet) -> Column:
 def rollup(unit_labels: DataFrame, labels: LabelSet, unit: list[str], label: str = "label") -> DataFrame:
     """Distinct fine labels per unit and coarse label; labels without a coarse one drop out.
 
-    Rows are first reduced to distinct (unit, label), which each task does before the shuffle, and
-    the label table of fixed size is broadcast.
+    The labels of a unit fold to one bit mask inside each task, so repeated labels never reach the
+    shuffle, and there is only one. Counting bits per coarse label needs no join.
     """
-    dim = labels.dim(unit_labels.sparkSession).select(F.col("label").alias(label), "coarse")
+    members: dict[str, int] = {}
+    for i, name in enumerate(labels.labels):
+        if name in labels.coarse_of:
+            members[labels.coarse_of[name]] = members.get(labels.coarse_of[name], 0) | 1 << i
+    counted = F.array(*[
+        F.struct(F.lit(coarse).alias("coarse"),
+                 F.bit_count(F.col("_mask").bitwiseAND(F.lit(bits).cast("bigint"))).cast("bigint")
+                 .alias("fine_labels"))
+        for coarse, bits in members.items()])
     return (
-        unit_labels.select(*unit, label).distinct()
-        .join(F.broadcast(dim), label)
-        .filter(F.col("coarse").isNotNull())
-        .groupBy(*unit, "coarse").agg(F.count("*").alias("fine_labels"))
+        unit_labels.groupBy(*unit).agg(F.bit_or(mask_of(F.col(label), labels)).alias("_mask"))
+        .select(*unit, F.inline(counted)).filter(F.col("fine_labels") > 0)
     )
 
 

@@ -182,13 +182,17 @@ def series(fragment: Column) -> Column:
 def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
     """All fields of a work page as columns. Unreadable pages keep their status and null fields."""
     html = F.col("html")
-    readable = pages.withColumn("status", status(html, WORK_LAYOUT))
-    page = F.when(F.col("status") == "ok", html)
+    page = F.col("page")
+    # Columns of their own, because several fields read them and each should be worked out once.
+    readable = (
+        pages.withColumn("status", status(html, WORK_LAYOUT))
+        .withColumn("page", F.when(F.col("status") == "ok", html))
+        .withColumn("modules", modules(page))
+    )
     preface = H.inner(page, "h3", cls="byline heading")
-    found = modules(page)
 
     def module(kind: str) -> Column:
-        return F.try_element_at(F.filter(found, lambda m: m["module_type"] == kind), F.lit(1))
+        return F.try_element_at(F.filter("modules", lambda m: m["module_type"] == kind), F.lit(1))
 
     def count(name: str) -> Column:
         return parse_count(F.coalesce(stat(page, name), F.lit("0")))

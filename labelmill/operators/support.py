@@ -36,12 +36,14 @@ def support_slices(support: Column, levels=SUPPORT_LEVELS) -> Column:
 
 
 def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str = "work_id",
-                coarse: LabelSet | None = None) -> DataFrame:
+                coarse: LabelSet | None = None, keep=()) -> DataFrame:
     """Support vectors per unit: for each label, the number of the unit's tags mapped to it.
 
     `tags` has one array column `tags` per unit; repeated tags count each time, a tag with several
     warnings supports each, names outside the vocabulary drop out, units without a mapped tag get
-    zeros. With `coarse`, the same counts rolled up to coarse labels come along.
+    zeros. With `coarse`, the same counts rolled up to coarse labels come along. Columns to `keep` are
+    carried through the aggregation, which spares a second scan and a join; give them a fixed width
+    (numbers, booleans), so that Spark can fold them in a hash aggregation.
 
     Spark broadcasts the tag map while it is below the broadcast threshold and otherwise joins by tag,
     with adaptive splitting of frequent tags. Only mapped tags, and the first tag of each unit so that
@@ -52,7 +54,7 @@ def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str
     dim = labels.dim(spark).select(F.col("label").alias("warning"), "idx", "coarse")
     mapped = tag_map.select("tag", "warning").join(F.broadcast(dim), "warning").drop("warning")
     rows = (
-        tags.select(unit, F.posexplode_outer("tags").alias("pos", "tag"))
+        tags.select(unit, *keep, F.posexplode_outer("tags").alias("pos", "tag"))
         .join(mapped, "tag", "left")
         .filter(F.col("idx").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
     )
@@ -62,8 +64,8 @@ def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str
         counters += [F.count_if(F.col("coarse") == name).alias(f"_c{i}")
                      for i, name in enumerate(coarse.labels)]
         vectors["support_coarse"] = F.array(*[F.col(f"_c{i}") for i in range(len(coarse.labels))])
-    counted = rows.groupBy(unit).agg(*counters)
-    return counted.select(unit, *[vector.alias(name) for name, vector in vectors.items()])
+    counted = rows.groupBy(unit).agg(*counters, *[F.first(c).alias(c) for c in keep])
+    return counted.select(unit, *keep, *[vector.alias(name) for name, vector in vectors.items()])
 
 
 def work_records(works: DataFrame, tag_map: DataFrame, fine: LabelSet, coarse: LabelSet) -> DataFrame:

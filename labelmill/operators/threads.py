@@ -20,13 +20,15 @@ def previous_in_group(df: DataFrame, group: str, order: str, block: int = BLOCK)
     has more than block**3 of them. Ordinary groups fit one block and need no summary rows.
     """
     inside = Window.partitionBy(group, "_block").orderBy(order)
-    ranked = df.withColumn("_block", F.floor(F.col(order) / block)).withColumns({
+    blocked = df.withColumn("_block", F.expr(f"`{order}` div {block}"))
+    upper_block = F.expr(f"_block div {block}")
+    ranked = blocked.withColumns({
         "_prev": F.lag(order).over(inside),
         "_rank": F.row_number().over(inside) - 1,
     })
-    blocks = df.withColumn("_block", F.floor(F.col(order) / block)).groupBy(group, "_block").agg(
+    blocks = blocked.groupBy(group, "_block").agg(
         F.max(order).alias("_last"), F.min(order).alias("_start"), F.count("*").alias("_size"))
-    supers = blocks.withColumn("_super", F.floor(F.col("_block") / block)).groupBy(group, "_super").agg(
+    supers = blocks.withColumn("_super", upper_block).groupBy(group, "_super").agg(
         F.max("_last").alias("_last"), F.min("_start").alias("_start"), F.sum("_size").alias("_size"))
 
     def carried(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
@@ -42,7 +44,7 @@ def previous_in_group(df: DataFrame, group: str, order: str, block: int = BLOCK)
         group, "_super", F.col("_carry_last").alias("_u_last"), F.col("_carry_size").alias("_u_size"),
         F.col("_carry_start").alias("_u_start"))
     lower = carried(
-        blocks.withColumn("_super", F.floor(F.col("_block") / block)), [group, "_super"], "_block"
+        blocks.withColumn("_super", upper_block), [group, "_super"], "_block"
     ).filter(F.col("_block") > 0).join(upper, [group, "_super"], "left").select(
         group, "_block",
         F.coalesce("_carry_last", "_u_last").alias("_b_last"),

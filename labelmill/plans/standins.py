@@ -85,20 +85,26 @@ def event_label_rows(spark: SparkSession, sf: str) -> DataFrame:
         "user_id", F.to_date("ts").alias("day"), F.col("event_type").alias("label"))
 
 
+def _facts() -> dict[str, Column]:
+    lower = F.lower("text")
+    return {
+        "is_english": F.col("lang") == "en", "n_chars": F.col("n_chars"),
+        "n_words": X.word_count(F.col("text")),
+        "says_worthless": F.contains(lower, F.lit("worthless")),
+        "says_pathetic": F.contains(lower, F.lit("pathetic")),
+    }
+
+
 def doc_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Small facts per document, worked out before any join so that no text is shuffled for them."""
-    lower = F.lower("text")
-    return documents(spark, sf).select(
-        "doc_id", "lang", "n_chars", X.word_count(F.col("text")).alias("n_words"),
-        F.contains(lower, F.lit("worthless")).alias("says_worthless"),
-        F.contains(lower, F.lit("pathetic")).alias("says_pathetic"))
+    return documents(spark, sf).select("doc_id", *[fact.alias(name) for name, fact in _facts().items()])
 
 
-def doc_preds(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows (doc_id, n_words, model, truth, pred) for labelled documents."""
+def _predict(facts: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
+    """Rows (doc_id, model, truth, pred) of labelled documents by fixed rules over their facts."""
     n_words = F.col("n_words")
     rules = {
-        "coarse_lang": (F.col("lang") == "en", F.col("n_chars") < 500),
+        "coarse_lang": (F.col("is_english"), F.col("n_chars") < 500),
         "fine_length": (n_words.between(100, 2000), n_words > 1000),
         "fine_words": (~F.col("says_worthless"), F.col("says_pathetic")),
     }
@@ -106,10 +112,13 @@ def doc_preds(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(model).alias("model"),
                  F.array(quality.cast("int"), toxic.cast("int")).alias("pred"))
         for model, (quality, toxic) in rules.items()])
-    return (
-        doc_facts(spark, sf).join(read_table(spark, sf, "labels"), "doc_id")
-        .select("doc_id", "n_words", F.array("quality", "toxic").alias("truth"), F.inline(stacked))
-    )
+    return facts.join(labels, "doc_id").select(
+        "doc_id", *keep, F.array("quality", "toxic").alias("truth"), F.inline(stacked))
+
+
+def doc_preds(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows (doc_id, model, truth, pred) for labelled documents."""
+    return _predict(doc_facts(spark, sf), read_table(spark, sf, "labels"))
 
 
 def tag_map(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
@@ -120,14 +129,15 @@ def doc_tags(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", X.tokens(F.col("text")).alias("tags"))
 
 
-def doc_support(spark: SparkSession, sf: str) -> DataFrame:
-    return tag_support(doc_tags(spark, sf), tag_map(spark, DOC_TAGS), DOCS, "doc_id", DOCS_COARSE)
-
-
 def doc_sliced(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions with the slices each row belongs to."""
+    """Predictions with the slices each row belongs to. Texts are read once, for facts and tags."""
+    facts = _facts()
+    read_once = documents(spark, sf).select(
+        "doc_id", X.tokens(F.col("text")).alias("tags"), *[fact.alias(name) for name, fact in facts.items()])
+    supported = tag_support(
+        read_once, tag_map(spark, DOC_TAGS), DOCS, "doc_id", DOCS_COARSE, keep=list(facts))
     return (
-        doc_preds(spark, sf).join(doc_support(spark, sf), "doc_id")
+        _predict(supported, read_table(spark, sf, "labels"), "n_words", "support_fine", "support_coarse")
         .withColumn("slices", row_slices(
             F.col("model"), F.col("n_words"), F.col("support_fine"), F.col("support_coarse")))
         .select("doc_id", "model", "slices", "truth", "pred")
