@@ -55,6 +55,11 @@ def unassigned(works: DataFrame, splits: DataFrame, key: str = "work_id") -> Dat
     return works.join(splits.select(key), key, "left_anti")
 
 
+def without_metadata(predictions: DataFrame, works: DataFrame, key: str = "work_id") -> DataFrame:
+    """Predictions for works that have no metadata; an inner join would drop them unseen."""
+    return predictions.join(works.select(key), key, "left_anti")
+
+
 def duplicate_keys(df: DataFrame, key: str = "work_id") -> DataFrame:
     """Keys that occur more than once, with their row counts."""
     return df.groupBy(key).agg(F.count("*").alias("rows")).filter(F.col("rows") > 1)

@@ -295,11 +295,19 @@ def quality_report(pages: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return counted.unpivot([], list(rules), "rule", "violations")
 
 
+# Statistics a work page may show.
+STATISTICS = ["published", "status", "words", "chapters", "comments", "kudos", "bookmarks", "hits"]
+
+
 def work_rules() -> dict[str, Column]:
     """Guards of work pages: what must hold at most once, and which modules and numbers are known."""
     html = F.col("html")
     known = ["summary", "notes", "end_notes"]
+    stats = F.regexp_extract_all(
+        F.coalesce(H.inner(html, "dl", cls="stats"), F.lit("")),
+        F.lit(r"""(?i)<dd\b[^>]*\bclass\s*=\s*["']([^"'\s]+)"""), F.lit(1))
     return {
+        "unknown statistic": F.size(F.array_except(stats, F.array(*[F.lit(s) for s in STATISTICS]))) > 0,
         "several languages": F.size(H.inner_all(html, "dd", cls="language")) > 1,
         "unknown module": F.exists(modules(html), lambda m: ~m["module_type"].isin(known)),
         "several end notes": F.size(F.filter(modules(html), lambda m: m["module_type"] == "end_notes")) > 1,

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.labelsets import LabelSet
 from labelmill.functions.scalars import f1, precision, recall, safe_div, show_score
-from labelmill.operators.support import (
-    LENGTH_RANGES, SUPPORT_LEVELS, length_slices, support_slices)
+from labelmill.operators.support import LENGTH_RANGES, SUPPORT_LEVELS, well_supported
 
 COUNTS = ("tp", "fp", "fn", "tn")
 MACRO = ("mac_p", "mac_r", "mac_f1")
@@ -109,23 +108,31 @@ def score(preds: DataFrame, labels: LabelSet, by: list[str]) -> DataFrame:
     return average(confusion(preds, labels, by), by)
 
 
+def name_slices(predicates: dict[str, Column]) -> Column:
+    """Names of the slices whose predicate holds for a row, as one comma-joined string.
+
+    Any boolean column may define a slice; every row is in the slice `all`.
+    """
+    return F.array_join(F.array_compact(F.array(F.lit(ALL), *[
+        F.when(holds, name) for name, holds in predicates.items()])), ",")
+
+
 def row_slices(model: Column, n_words: Column, support_fine: Column, support_coarse: Column) -> Column:
-    """Names of the slices a prediction row belongs to, as one comma-joined string.
+    """Slices of a prediction row by word count and tag support.
 
     The support vector follows the model's name; a name with neither `coarse` nor `fine` in it is
     not filtered by support.
     """
-    everything = F.array(*[F.lit(f"support_{k}") for k in SUPPORT_LEVELS])
     coarse, fine = model.contains("coarse"), model.contains("fine")
-    keeps = F.array_intersect(
-        F.when(coarse, support_slices(support_coarse)).otherwise(everything),
-        F.when(fine, support_slices(support_fine)).otherwise(everything))
-    return F.array_join(
-        F.concat(F.array(F.lit(ALL)), F.coalesce(length_slices(n_words), F.array()), keeps), ",")
+    lengths = {name: n_words.between(low, high) for name, (low, high) in LENGTH_RANGES.items()}
+    supports = {
+        f"support_{k}": (~coarse | well_supported(support_coarse, k)) & (~fine | well_supported(support_fine, k))
+        for k in SUPPORT_LEVELS}
+    return name_slices({**lengths, **supports})
 
 
 def slice_confusion(preds: DataFrame, labels: LabelSet, model: str = "model",
-                    slices: str = "slices") -> DataFrame:
+                    slices: str = "slices", names: list[str] | None = None) -> DataFrame:
     """Confusion counts per model, slice and label in one pass over the predictions.
 
     Slices overlap. Rows are counted per combination of slices first; the few counted rows, not the
@@ -134,7 +141,7 @@ def slice_confusion(preds: DataFrame, labels: LabelSet, model: str = "model",
     labels.
     """
     combined = confusion(preds, labels, [model, slices])
-    every = F.array(*[F.lit(s) for s in slice_names()])
+    every = F.array(*[F.lit(s) for s in (slice_names() if names is None else names)])
     member = F.when(F.col("slice").isin(OPEN, CLOSED), ALL).otherwise(F.col("slice"))
     opened = F.array_contains(F.array(*[F.lit(n) for n in sorted(labels.open_labels)])
                               .cast("array<string>"), F.col("label"))
@@ -159,9 +166,9 @@ def slice_names() -> list[str]:
 
 
 def score_slices(preds: DataFrame, labels: LabelSet, model: str = "model",
-                 slices: str = "slices") -> DataFrame:
+                 slices: str = "slices", names: list[str] | None = None) -> DataFrame:
     """Macro, micro and exact-match scores per model and slice in one pass."""
-    return average(slice_confusion(preds, labels, model, slices), [model, "slice"])
+    return average(slice_confusion(preds, labels, model, slices, names), [model, "slice"])
 
 
 def sections(conf: DataFrame, dim: DataFrame, by: list[str]) -> DataFrame:

@@ -76,6 +76,13 @@ def test_slices_equal_scoring_the_filtered_rows(spark):
             assert (model, "open") not in got
 
 
+def test_any_predicate_may_define_a_slice(spark):
+    df = spark.createDataFrame(rows(10, models=("m",)), SCHEMA)
+    df = df.withColumn("slices", scoring.name_slices({"even": F.col("work_id") % 2 == 0}))
+    got = {r["slice"]: r["n"] for r in scoring.score_slices(df, ABC, names=["all", "even"]).collect()}
+    assert got == {"all": 10, "even": 5}
+
+
 def test_empty_slice_keeps_zero_rows_and_null_scores(spark):
     df = spark.createDataFrame(rows(4, models=("fine_x",)), SCHEMA).withColumn("slices", F.lit("all,512"))
     got = {r["slice"]: r for r in scoring.score_slices(df, ABC).collect()}
