@@ -62,23 +62,28 @@ def previous_in_group(df: DataFrame, group: str, order: str, block: int = BLOCK)
     )
 
 
-def _split_join(left: DataFrame, right: DataFrame, key: str, how: str, share: int = 1000) -> DataFrame:
-    """Join on a key that is unique in `right` and may be heavily repeated in `left`.
+def _salted_join(left: DataFrame, right: DataFrame, key: str, row_id: str, share: int = 1000,
+                 salts: int = 64) -> DataFrame:
+    """Left join on a key that is unique in `right` and may be heavily repeated in `left`.
 
-    Keys that hold more than 1/share of the left rows number fewer than `share`; their right rows are
-    broadcast under that bound, all other keys are joined by a shuffle that has no heavy key left.
+    Keys that hold more than 1/share of the left rows number fewer than `share`, so their list may be
+    broadcast. Their left rows are spread over `salts` buckets and their right rows, at most
+    share x salts of them, are copied to each bucket. Rows without a key match nothing and are spread
+    as well. All other keys stay in bucket 0.
     """
     total = left.agg(F.count("*").alias("n"))
-    heavy = (
+    heavy = F.broadcast(
         left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") * share > total.scalar()).select(key)
-    )
-    heavy_right = right.join(F.broadcast(heavy), key, "left_semi").withColumn("_heavy", F.lit(True))
-    marked = left.join(F.broadcast(heavy.withColumn("_is_heavy", F.lit(True))), key, "left")
-    hot = marked.filter(F.col("_is_heavy")).drop("_is_heavy")
-    cold = marked.filter(F.col("_is_heavy").isNull()).drop("_is_heavy")
-    return (hot.join(F.broadcast(heavy_right.drop("_heavy")), key, how)
-            .unionByName(cold.join(right, key, how)))
+        .filter(F.col("_n") * share > total.scalar())
+        .select(key, F.lit(True).alias("_heavy")))
+    first, last = F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")
+    buckets = F.when(F.col("_heavy"), F.sequence(first, last)).otherwise(F.array(first))
+    spread = left.join(heavy, key, "left").withColumn(
+        "_salt", F.when(F.col("_heavy") | F.col(key).isNull(), F.pmod(F.xxhash64(row_id), F.lit(salts)))
+        .otherwise(first)).drop("_heavy")
+    copied = right.join(heavy, key, "left").withColumn(
+        "_salt", F.explode(buckets)).drop("_heavy")
+    return spread.join(copied, [key, "_salt"], "left").drop("_salt")
 
 
 def reattach(comments: DataFrame, rounds: int = 64) -> DataFrame:
@@ -94,7 +99,7 @@ def reattach(comments: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         hop = gone.select(F.col("gone").alias("target"), F.col("target").alias("_next"),
                           F.lit(True).alias("_hit"))
-        stepped = _split_join(gone, hop, "target", "left")
+        stepped = _salted_join(gone, hop, "target", "gone")
         if stepped.filter("_hit").limit(1).count() == 0:
             break
         gone = durable(stepped.select(
@@ -103,7 +108,7 @@ def reattach(comments: DataFrame, rounds: int = 64) -> DataFrame:
         raise ValueError("deleted comments form a cycle")
     moved = gone.select(F.col("gone").alias("parent_comment"), F.col("target").alias("_target"),
                         F.lit(True).alias("_moved"))
-    live = _split_join(comments.filter(~F.col("deleted")), moved, "parent_comment", "left")
+    live = _salted_join(comments.filter(~F.col("deleted")), moved, "parent_comment", "comment_id")
     return live.withColumn(
         "parent_comment", F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("parent_comment"))
     ).select(*comments.columns).drop("deleted")

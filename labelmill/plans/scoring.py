@@ -29,16 +29,16 @@ def score_all_slices(spark, sf):
 
 def unify_predictions(spark, sf):
     """The rule predictions in both layouts: documents of even id in the first, odd id in the second."""
-    preds = S.doc_preds(spark, sf).filter(F.col("model") == "fine_length")
+    preds = S.doc_preds(spark, sf)
     first = F.col("doc_id") % 2 == 0
     layouts = preds.select(
-        "doc_id",
+        "doc_id", "model",
         F.when(first, F.col("truth").cast("array<double>")).alias("truth"),
         F.when(first, F.col("pred").cast("array<double>")).alias("predictions"),
         F.when(~first, F.col("truth").cast("array<double>")).alias("labels"),
         F.when(~first, F.col("pred").cast("array<double>")).alias("prediction"))
     return scoring.unify(layouts).select(
-        "doc_id", F.array_join("truth", "").alias("truth"), F.array_join("pred", "").alias("prediction"))
+        "doc_id", "model", F.array_join("truth", "").alias("truth"), F.array_join("pred", "").alias("prediction"))
 
 
 def subset_accuracy(spark, sf):
@@ -135,9 +135,9 @@ ORACLES = {
     "score_models": S.score_sql(S.DOC_CELLS, "model"),
     "score_all_slices": f"WITH {_SLICED} SELECT * FROM every",
     "unify_predictions": f"""WITH {S.DOC_CELLS}
-        SELECT unit AS doc_id, string_agg(t::VARCHAR, '' ORDER BY idx) AS truth,
+        SELECT unit AS doc_id, model, string_agg(t::VARCHAR, '' ORDER BY idx) AS truth,
                string_agg(p::VARCHAR, '' ORDER BY idx) AS prediction
-        FROM cells WHERE model = 'fine_length' GROUP BY 1""",
+        FROM cells GROUP BY 1, 2""",
     "subset_accuracy": f"SELECT model, n, sub_acc FROM ({S.score_sql(S.EVENT_CELLS, 'model')})",
     "roc_auc_macro": f"""WITH {S.DOC_CELLS}, conf AS ({S.conf_sql('model')})
         SELECT model, round(avg(tp::DOUBLE / nullif(tp + fn, 0) / 2 + tn::DOUBLE / nullif(tn + fp, 0) / 2), 9)
