@@ -21,13 +21,18 @@ class Layout:
     whole: str      # content of a page without chapters; group 1
 
 
-# Marks of work pages.
+# Marks of work pages. Chapter text ends where a preface, notes or the feedback begin.
+USERSTUFF = (r"""<div\b[^>]*\bclass\s*=\s*["'][^"']*\buserstuff\b[^"']*["'][^>]*>(.*?)"""
+             r"""(?=<div\b[^>]*\bclass\s*=\s*["'][^"']*\b(?:preface|notes|afterword)\b"""
+             r"""|<div\b[^>]*\bid\s*=\s*["'](?:feedback|chapter-)|\z)""")
+CHAPTER_DIV = r"""<div\b[^>]*\bid\s*=\s*["']chapter-"""
 WORK_LAYOUT = Layout(
     body=r"""(?is)<div\b[^>]*\bid\s*=\s*["']workskin["']""",
-    chapter=(r"""(?is)<div\b(?=[^>]*\bid\s*=\s*["']chapter-)[^>]*>(.*?)"""
-             r"""(?=<div\b(?=[^>]*\bid\s*=\s*["']chapter-)|<!--\s*/chapters|\z)"""),
-    whole=r"""(?is)<div\b[^>]*\bid\s*=\s*["']chapters["'][^>]*>.*?<div\b[^>]*\bclass\s*=\s*["'][^"']*\buserstuff\b[^"']*["'][^>]*>(.*?)</div\s*>""",
+    chapter=rf"(?is){CHAPTER_DIV}.*?{USERSTUFF}",
+    whole=rf"""(?is)<div\b[^>]*\bid\s*=\s*["']chapters["'][^>]*>.*?{USERSTUFF}""",
 )
+AROUND_CHAPTERS = (r"""(?is)<div\b[^>]*\bid\s*=\s*["']chapters["'].*?"""
+                   r"""(?=<div\b[^>]*\bid\s*=\s*["']work_endnotes|\z)""")
 ARTICLE_LAYOUT = Layout(
     body=r"(?is)<body\b.*</body\s*>",
     chapter=r"(?is)<p\b[^>]*>([^<]*)</p>",
@@ -122,6 +127,42 @@ def chapter_rows(pages: DataFrame, layout: Layout, key: str = "page_id") -> Data
         F.when(F.size(many) > 0, numbered).otherwise(single)))
 
 
+def _closed(content: Column) -> Column:
+    """Content without the end tags of the elements around it."""
+    return F.regexp_replace(content, r"(?is)(?:\s*</div\s*>)+\s*\z", "")
+
+
+def chapters(html: Column) -> Column:
+    """Chapters of a work page as structs; a page without chapters gives one without title and number.
+
+    The number is the one in the chapter's id, because titles repeat numbers.
+    """
+    pieces = F.filter(F.split(html, f"(?i)(?={CHAPTER_DIV})"), lambda p: p.rlike(f"(?i)^{CHAPTER_DIV}"))
+
+    def module(found: Column, kind: str) -> Column:
+        return F.try_element_at(F.filter(found, lambda m: m["module_type"] == kind), F.lit(1))
+
+    def one(p: Column) -> Column:
+        heading = H.inner(p, "h3", cls="title")
+        return F.struct(
+            H.to_text(heading).alias("title"),
+            first_match(p, rf"(?is)^{CHAPTER_DIV}(\d+)").try_cast("int").alias("chapter_index"),
+            F.try_element_at(H.links(heading), F.lit(1))["path"].alias("path"),
+            module(modules(p), "summary").alias("summary"), module(modules(p), "notes").alias("notes"),
+            _closed(first_match(p, f"(?is){USERSTUFF}")).alias("content"),
+            module(modules(p), "end_notes").alias("endnotes"))
+
+    part = "struct<module_type:string,heading:string,content:string>"
+    nothing = F.lit(None)
+    single = F.struct(
+        nothing.cast("string").alias("title"), nothing.cast("int").alias("chapter_index"),
+        nothing.cast("string").alias("path"), nothing.cast(part).alias("summary"),
+        nothing.cast(part).alias("notes"),
+        _closed(first_match(html, WORK_LAYOUT.whole)).alias("content"),
+        nothing.cast(part).alias("endnotes"))
+    return F.when(F.size(pieces) > 0, F.transform(pieces, one)).otherwise(F.array(single))
+
+
 def text_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, H.to_text(F.col("html")).alias("text"))
 
@@ -187,7 +228,7 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
     readable = (
         pages.withColumn("status", status(html, WORK_LAYOUT))
         .withColumn("page", F.when(F.col("status") == "ok", html))
-        .withColumn("modules", modules(page))
+        .withColumn("modules", modules(F.regexp_replace(page, AROUND_CHAPTERS, "")))
     )
     preface = H.inner(page, "h3", cls="byline heading")
 
@@ -216,7 +257,7 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
         H.to_text(H.inner(page, "h2", cls="title heading")).alias("title"),
         F.array_distinct(H.links(preface)).alias("authors"),
         module("summary").alias("summary"), module("notes").alias("notes"),
-        module("end_notes").alias("endnotes"),
+        F.when(page.isNotNull(), chapters(page)).alias("chapters"), module("end_notes").alias("endnotes"),
         F.filter(F.transform(
             H.links(F.coalesce(first_match(page, CHILDREN_MODULE), F.lit(""))),
             lambda c: reference_part(c["path"], "work_id")), lambda c: c.isNotNull()).alias("children"),
@@ -226,6 +267,26 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
     )
 
 
+def hydration(pages: DataFrame, key: str = "work_id") -> DataFrame:
+    """The fields a work gets from its page: status, chapter texts, notes, end notes and summary."""
+    page = F.col("page")
+    readable = (
+        pages.withColumn("status", status(F.col("html"), WORK_LAYOUT))
+        .withColumn("page", F.when(F.col("status") == "ok", F.col("html")))
+        .withColumn("chapters", F.when(page.isNotNull(), chapters(page)))
+        # Notes of the work stand before its first chapter or behind its last one.
+        .withColumn("modules", modules(F.regexp_replace(page, AROUND_CHAPTERS, "")))
+    )
+
+    def content(kind: str) -> Column:
+        return F.try_element_at(
+            F.filter("modules", lambda m: m["module_type"] == kind), F.lit(1))["content"]
+
+    return readable.select(
+        key, "status", F.col("chapters.content").alias("text"), content("notes").alias("notes"),
+        content("end_notes").alias("endnotes"), content("summary").alias("summary"))
+
+
 THREAD_MARK = (r"""(?i)(?=<ol\b[^>]*\bclass\s*=\s*["'][^"']*\bthread\b|"""
                r"""<li\b[^>]*\bclass\s*=\s*["'][^"']*\bcomment\b)""")
 
