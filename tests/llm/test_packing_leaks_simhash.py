@@ -89,7 +89,7 @@ def test_benchmark_hits(spark, monkeypatch):
         assert set(got) == brute_hits(rows, items)
     kept = decontaminate.clean_documents(docs_of(spark, rows), bench.filter("item_id = 1"))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
-    assert {r.doc_id for r in kept.collect()} == {1, 2, 5, 6} | ({8} if False else set())
+    assert {r.doc_id for r in kept.collect()} == {1, 2, 5, 6}
     assert decontaminate.benchmark_hits(docs_of(spark, []), bench).count() == 0
     assert decontaminate.benchmark_hits(docs_of(spark, rows), bench.limit(0)).count() == 0
 
@@ -148,7 +148,7 @@ def test_simhash_components(spark, shard_rows):
     kept = simhash.keep_one(docs, shard_rows)
     assert kept.columns == docs.columns
     least = {r.component_id for r in simhash.near_duplicates(docs, shard_rows).collect()}
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(least)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(least, key=str)
     assert simhash.near_duplicates(docs_of(spark, [])).count() == 0
 
 
