@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,19 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
 _OPEN = _PIECE.append(pa.field("open", pa.bool_()))
 
-#: Words whose ids a worker remembers; the rest of a block is tokenised together.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers before it starts afresh.
+CACHE_WORDS = 1_000_000
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
+#: White space for Python, but signs for the tokenizer.
+_NO_SPACE = "\x1c\x1d\x1e\x1f"
+
+
+class _Codes(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
 
 
 class WordIds:
@@ -51,52 +62,50 @@ class WordIds:
         self.reset()
 
     def reset(self) -> None:
-        self.codes: dict[str, int] = {}
+        self.codes = _Codes()
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.count = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _store(self, words: list[str], ids: list[np.ndarray]) -> None:
-        n = len(self.codes)
+    def _store(self, first: int, ids: list[np.ndarray]) -> None:
+        """Ids of the words numbered from `first` on."""
         lengths = np.array([len(x) for x in ids], dtype=np.int64)
-        total = int(lengths.sum())
+        total, n = int(lengths.sum()), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.begin):
+        while first + n > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
         if total:
             self.flat[self.used:self.used + total] = np.concatenate(ids)
-        self.begin[n:n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.count[n:n + len(words)] = lengths
+        self.begin[first:first + n] = self.used + np.cumsum(lengths) - lengths
+        self.count[first:first + n] = lengths
         self.used += total
-        self.codes.update(zip(words, range(n, n + len(words))))
-
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if "<|" not in w]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
-            ids = np.array(self.tokenizer.encode(SEPARATOR.join(part), add_special_tokens=False).ids, dtype=np.uint32)
-            cuts = np.flatnonzero(ids == SEPARATOR_ID)
-            edges = np.concatenate([[-1], cuts, [len(ids)]])
-            self._store(part, [ids[a + 1:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())])
-        for w in words:
-            if "<|" in w:
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
-                self._store([w], [np.array(ids, dtype=np.uint32)])
+
+    def _learn(self, first: int, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at:at + 20_000]
+            plain = [w if "<|" not in w else "" for w in part]
+            ids = np.array(self.tokenizer.encode(SEPARATOR.join(plain), add_special_tokens=False).ids, dtype=np.uint32)
+            edges = [-1, *np.flatnonzero(ids == SEPARATOR_ID).tolist(), len(ids)]
+            own = [ids[a + 1:b] for a, b in zip(edges[:-1], edges[1:])]
+            for i, w in enumerate(part):
+                if "<|" in w:
+                    own[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
+            self._store(first + at, own)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > CACHE_WORDS:
             self.reset()
-        # A marker may hold the space that a split would cut.
-        split = [t.replace("\t", " ").replace("\n", " ").replace("\r", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self.codes}
-        if new:
-            self._learn(sorted(new))
+        known, coded = len(self.codes), []
+        for text in texts:
+            words = text.split(" ") if any(c in text for c in _NO_SPACE) else text.split()
+            coded.append(np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words)))
+        if len(self.codes) > known:
+            self._learn(known, list(islice(self.codes, known, None)))
         out = []
-        for words in split:
-            codes = np.fromiter(map(self.codes.__getitem__, words), dtype=np.int64, count=len(words))
+        for codes in coded:
             lengths = self.count[codes]
             ends = np.cumsum(lengths)
             shift = np.repeat(self.begin[codes] - (ends - lengths), lengths)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, simhash
+from . import decontaminate, langid, packing, secrets, simhash, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op1_langid(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    learned = langid.fit(docs.filter(F.coalesce(~held_out(), F.lit(True))))
+    return langid.predict(docs, *learned).select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -27,9 +38,19 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return secrets.digest(secrets.scan(docs, secrets.train(docs)))
+
+
+def op9_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(_table(spark, folder, "documents"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, "op10_packing": op10_packing}
+QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, 
+           "op8_secrets": op8_secrets, "op9_suffix": op9_suffix, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}

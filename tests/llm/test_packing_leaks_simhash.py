@@ -140,7 +140,8 @@ def check_simhash(rows, found):
 
 @pytest.mark.parametrize("shard_rows", [20_000, 30])
 def test_simhash_components(spark, shard_rows):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + EDGE
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(None if i is None else i + 5000, t) for i, t in EDGE]
     base = " ".join(f"w{i}" for i in range(300))
     rows += [(1000 + i, base.replace(f"w{i} ", f"v{i} ")) for i in range(60)] + [(2000, base), (2001, base)]
     docs = docs_of(spark, rows)
