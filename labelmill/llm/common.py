@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Bytes that one vectorised pass works on, so that its arrays stay small whatever the batch holds.
 BLOCK_BYTES = 1 << 19
@@ -19,6 +20,11 @@ def single_threaded() -> None:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a few megabytes, so that a worker's memory does not follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch with the columns in the order of `schema`."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, packing, secrets, simhash, suffix
+from . import common, decontaminate, langid, packing, secrets, simhash, suffix
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    common.small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

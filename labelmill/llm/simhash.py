@@ -186,8 +186,8 @@ def close_pairs(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, n
             continue
         for i in range(0, len(at), LEAF):
             rows = at[i:i + LEAF]
-            for j in range(i, len(at), 1 << 14):
-                others = at[j:j + (1 << 14)]
+            for j in range(i, len(at), 1 << 12):
+                others = at[j:j + (1 << 12)]
                 near = np.bitwise_count(points[rows][:, None] ^ points[others][None, :]) <= radius
                 a, b = np.nonzero(near)
                 a, b = rows[a], others[b]
