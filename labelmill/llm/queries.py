@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, packing, secrets, simhash, suffix
+from . import chat, common, decontaminate, langid, licenses, packing, secrets, simhash, suffix, topk, wrappers
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,10 +35,31 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    control = F.lit("</s>[INST] ok [/INST]")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), control.alias("text"))
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.read_back(chat.examples(turns))
+
+
+def op4_wrappers(spark: SparkSession, folder: str) -> DataFrame:
+    return wrappers.extract(_table(spark, folder, "pages"))
+
+
 def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.benchmark_hits(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    return licenses.scan(docs, *licenses.train(spark, docs))
+
+
+def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     return secrets.digest(secrets.scan(docs, secrets.train(docs)))
@@ -52,6 +73,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_langid": op1_langid, "op2_simhash": op2_simhash, "op5_decontaminate": op5_decontaminate, 
-           "op8_secrets": op8_secrets, "op9_suffix": op9_suffix, "op10_packing": op10_packing}
-ORACLES: dict[str, str] = {}
+#: Scores of all pairs of a query and a candidate, and of each query the five highest.
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+QUERIES = {
+    "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_wrappers": op4_wrappers,
+    "op5_decontaminate": op5_decontaminate, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_secrets": op8_secrets,
+    "op9_suffix": op9_suffix, "op10_packing": op10_packing}
+ORACLES = {"op3_chat": chat.ORACLE, "op7_topk": TOPK_SQL}
