@@ -1,13 +1,15 @@
 """Rules that read HTML with regular expressions, as native column expressions.
 
 There is no document tree: each rule is a pattern over the page, so every page stays one row and one
-narrow projection. Elements of one kind must not be nested in each other for `inner` to see all of
-their content; `operators.pages.quality_report` counts the pages where a rule does not hold.
+narrow projection. Where elements of one kind nest, the rule cuts the page at their start and end tags
+and folds the depth, so an element ends at its own end tag.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,43 +21,53 @@ HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>
 # Tags inside a line of text: they separate nothing.
 INLINE = (r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|"
           r"strike|strong|sub|sup|tt|u|var)(?:\s[^>]*)?>")
-TAG = r"(?s)<[^>]*>"
+# A tag starts with a letter, a slash or a sign; any other `<` is text.
+TAG = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>"
 SPACES = r"\s+"
 
-# Named character references that are decoded; `&amp;` must come last.
-NAMED_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&bull;", "•"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&hellip;", "…"), ("&amp;", "&"),
-]
+# All named references of the standard; those that may stand without a semicolon, longest first, so that
+# the longest name wins.
+NAMES = {name.rstrip(";"): character for name, character in html5.items()}
+BARE_NAMES = sorted((name for name in html5 if not name.endswith(";")), key=lambda name: (-len(name), name))
+# Codes 128 to 159 stand for the characters of the Windows code page, where it has one.
+RENAMED = {code: bytes([code]).decode("cp1252", "replace") for code in range(0x80, 0xA0)}
+REFERENCE = (r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:" + "|".join(BARE_NAMES) + "))")
 
 
-def _code_point(code: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+def _literal_map(values: dict, kind: str) -> Column:
+    """A constant map column; read from its JSON form, which keeps the plan short."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
-def _decode_numbers(text: Column, pattern: str, base: int) -> Column:
-    """Replace each distinct numeric reference of the text by its character."""
-    references = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+def _code_point(digits: Column, base: int) -> Column:
+    """Character of a code in digits; null when there is none."""
+    short = F.regexp_replace(digits, "^0+", "")
+    code = F.when(F.length(short) <= 8, F.conv(short, base, 10).cast("bigint"))
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    renamed = _literal_map({str(code): c for code, c in RENAMED.items() if c != "�"}, "map<string,string>")
+    return (F.when(code.between(0x80, 0x9F), F.coalesce(renamed[code.cast("string")], character))
+            .when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), character)
+            .otherwise(F.lit("�")))
 
-    def replace_one(done: Column, reference: Column) -> Column:
-        digits = F.regexp_extract(reference, pattern, 1)
-        code = F.conv(digits, base, 10).cast("bigint")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        return F.when(valid, F.replace(done, reference, _code_point(code))).otherwise(done)
 
-    return F.aggregate(references, text, replace_one)
+def decode_entities(text: Column) -> Column:
+    """Character references to characters, in one pass from left to right.
 
+    What a reference gives is never read again. Unknown names stay as they are; codes without a
+    character give U+FFFD.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(rf"{REFERENCE}|[^&]+|&"), F.lit(0))
+    names = _literal_map(NAMES, "map<string,string>")
 
-def decode_entities(text: Column) -> Column:
-    """Numeric and common named character references to characters."""
-    numeric = _decode_numbers(
-        _decode_numbers(text, r"&#([0-9]{1,7});", 10), r"&#[xX]([0-9a-fA-F]{1,6});", 16)
-    decoded = F.when(F.contains(text, F.lit("&#")), numeric).otherwise(text)
-    for name, character in NAMED_ENTITIES:
-        decoded = F.replace(decoded, F.lit(name), F.lit(character))
-    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
+    def one(piece: Column) -> Column:
+        body = F.regexp_replace(F.substring(piece, 2, 1 << 20), ";$", "")
+        named = F.coalesce(names[body], piece)
+        number = F.when(piece.rlike("^&#[xX]"), _code_point(F.substring(body, 3, 1 << 20), 16)).otherwise(
+            _code_point(F.substring(body, 2, 1 << 20), 10))
+        return F.when(piece.startswith("&#") & (F.length(piece) > 2), number).when(
+            piece.startswith("&") & (F.length(piece) > 1), named).otherwise(piece)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
 
 
 def one_line(text: Column) -> Column:
@@ -82,10 +94,45 @@ def open_tag(tag: str, **attributes: str) -> str:
     return rf"<{tag}\b{wanted}[^>]*>"
 
 
+def _own_content(after: Column, tag: str) -> Column:
+    """What of `after`, the text behind a start tag, belongs to the element; null when it never ends."""
+    pieces = F.split(after, rf"(?i)(?=<{tag}(?![\w-]))|(?=</{tag}\s*>)")
+    start = F.struct(F.lit(1).alias("depth"), F.lit("").alias("kept"))
+
+    def step(done: Column, piece: Column) -> Column:
+        depth = done["depth"] + F.when(piece.rlike(rf"(?i)^<{tag}(?![\w-])"), 1).when(
+            piece.rlike(rf"(?i)^</{tag}\s*>"), -1).otherwise(0)
+        return F.when(done["depth"] == 0, done).otherwise(F.struct(
+            depth.alias("depth"),
+            F.when(depth == 0, done["kept"]).otherwise(F.concat(done["kept"], piece)).alias("kept")))
+
+    found = F.aggregate(pieces, start, step)
+    return F.when(found["depth"] == 0, found["kept"])
+
+
 def inner(html: Column, tag: str, **attributes: str) -> Column:
-    """Content of the first such element up to its next end tag; null when there is none."""
-    pattern = rf"(?is){open_tag(tag, **attributes)}(.*?)</{tag}\s*>"
-    return F.when(html.rlike(pattern), F.regexp_extract(html, pattern, 1))
+    """Content of the first such element up to its own end tag; null when there is none."""
+    return _own_content(F.nullif(F.regexp_extract(
+        html, rf"(?is){open_tag(tag, **attributes)}(.*)\z", 1), F.lit("")), tag)
+
+
+def children(fragment: Column) -> Column:
+    """Start tags of the elements that lie directly in a fragment, in order.
+
+    Elements without an end tag of their own open no level.
+    """
+    pieces = F.regexp_extract_all(fragment, F.lit(r"(?s)<!--.*?-->|</?[A-Za-z][^>]*>"), F.lit(0))
+    empty = r"(?i)^<(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)\b|/>$"
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("found"))
+
+    def step(done: Column, piece: Column) -> Column:
+        opens = piece.rlike("^<[A-Za-z]")
+        depth = F.when(opens & ~piece.rlike(empty), done["depth"] + 1).when(
+            piece.startswith("</"), F.greatest(done["depth"] - 1, F.lit(0))).otherwise(done["depth"])
+        return F.struct(depth.alias("depth"), F.when(
+            opens & (done["depth"] == 0), F.array_append(done["found"], piece)).otherwise(done["found"]).alias("found"))
+
+    return F.aggregate(pieces, start, step, lambda done: done["found"])
 
 
 def inner_all(html: Column, tag: str, **attributes: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +15,43 @@ from labelmill.functions.scalars import (
 
 @dataclass(frozen=True)
 class Layout:
-    """Patterns that tell where a kind of page keeps its content."""
+    """Where a kind of page keeps its content."""
 
-    body: str       # must match, otherwise the page is malformed
-    chapter: str    # one chapter; group 1 is its content
-    whole: str      # content of a page without chapters; group 1
+    body: str                             # pattern that must match, otherwise the page is malformed
+    chapters: Callable[[Column], Column]  # contents of the chapters of a page, as an array
+    whole: Callable[[Column], Column]     # content of a page without chapters
 
 
-# Marks of work pages. Chapter text ends where a preface, notes or the feedback begin.
-USERSTUFF = (r"""<div\b[^>]*\bclass\s*=\s*["'][^"']*\buserstuff\b[^"']*["'][^>]*>(.*?)"""
-             r"""(?=<div\b[^>]*\bclass\s*=\s*["'][^"']*\b(?:preface|notes|afterword)\b"""
-             r"""|<div\b[^>]*\bid\s*=\s*["'](?:feedback|chapter-)|\z)""")
+# Fixed value: mark of the chapters of work pages.
 CHAPTER_DIV = r"""<div\b[^>]*\bid\s*=\s*["']chapter-"""
+
+
+def chapter_pieces(html: Column) -> Column:
+    """The page cut where chapters start; each piece begins with a chapter's start tag."""
+    return F.filter(F.split(html, f"(?i)(?={CHAPTER_DIV})"), lambda p: p.rlike(f"(?i)^{CHAPTER_DIV}"))
+
+
+def userstuff(fragment: Column) -> Column:
+    """Content of the first text of a fragment, with all elements inside it."""
+    return F.trim(H.inner(fragment, "div", cls="userstuff"))
+
+
+def _whole_work(html: Column) -> Column:
+    return userstuff(H.inner(html, "div", id="chapters"))
+
+
 WORK_LAYOUT = Layout(
     body=r"""(?is)<div\b[^>]*\bid\s*=\s*["']workskin["']""",
-    chapter=rf"(?is){CHAPTER_DIV}.*?{USERSTUFF}",
-    whole=rf"""(?is)<div\b[^>]*\bid\s*=\s*["']chapters["'][^>]*>.*?{USERSTUFF}""",
+    chapters=lambda html: F.transform(chapter_pieces(html), userstuff),
+    whole=_whole_work,
 )
 AROUND_CHAPTERS = (r"""(?is)<div\b[^>]*\bid\s*=\s*["']chapters["'].*?"""
                    r"""(?=<div\b[^>]*\bid\s*=\s*["']work_endnotes|\z)""")
+PARAGRAPH = r"(?is)<p\b[^>]*>([^<]*)</p>"
 ARTICLE_LAYOUT = Layout(
     body=r"(?is)<body\b.*</body\s*>",
-    chapter=r"(?is)<p\b[^>]*>([^<]*)</p>",
-    whole=r"(?is)<article\b[^>]*>(.*?)</article\s*>",
+    chapters=lambda html: F.regexp_extract_all(html, F.lit(PARAGRAPH), F.lit(1)),
+    whole=lambda html: F.nullif(H.inner(html, "article"), F.lit("")),
 )
 
 # Fixed value: notice on works that were not yet public.
@@ -48,11 +63,16 @@ UNREVEALED = (r"""(?is)<p\b[^>]*\bclass\s*=\s*["'][^"']*\bnotice\b[^"']*["'][^>]
 def status(html: Column, layout: Layout) -> Column:
     """Why a page cannot be read: private, error, unrevealed or malformed - otherwise `ok`.
 
+    The login box and the error box count only in their place, directly in the main part and in the
+    inner wrapper; the same marks in a footer or a chapter do not.
     Checked in this order. Pages with errors stay rows and are counted, nothing is raised.
     """
+    wrapper = H.inner(html, "div", id="inner", cls="wrapper")
+    login = F.exists(H.children(H.inner(wrapper, "div", id="main")), lambda tag: H.has(tag, r"\w+", id="signin"))
+    failed = F.exists(H.children(wrapper), lambda tag: H.has(tag, r"\w+", cls="system errors"))
     return (
-        F.when(H.has(html, r"\w+", id="signin"), "private")
-        .when(H.has(html, r"\w+", cls="system errors"), "error")
+        F.when(H.has(html, r"\w+", id="signin") & login, "private")
+        .when(H.has(html, r"\w+", cls="system errors") & failed, "error")
         .when(html.rlike(UNREVEALED), "unrevealed")
         .when(~html.rlike(layout.body), "malformed")
         .otherwise("ok")
@@ -118,26 +138,21 @@ def sections(pages: DataFrame, kinds: dict[str, tuple[str, str | None]], key: st
 def chapter_rows(pages: DataFrame, layout: Layout, key: str = "page_id") -> DataFrame:
     """Chapters numbered from 1; a page without chapters gives its whole content without a number."""
     html = F.col("html")
-    many = F.regexp_extract_all(html, F.lit(layout.chapter), F.lit(1))
+    many = layout.chapters(html)
     numbered = F.transform(many, lambda content, i: F.struct(
         (i + 1).alias("number"), content.alias("content")))
     single = F.array(F.struct(
-        F.lit(None).cast("int").alias("number"), first_match(html, layout.whole).alias("content")))
+        F.lit(None).cast("int").alias("number"), layout.whole(html).alias("content")))
     return pages.select(key, F.inline_outer(
         F.when(F.size(many) > 0, numbered).otherwise(single)))
 
 
-def _closed(content: Column) -> Column:
-    """Content without the end tags of the elements around it."""
-    return F.regexp_replace(content, r"(?is)(?:\s*</div\s*>)+\s*\z", "")
-
-
 def chapters(html: Column) -> Column:
     """Chapters of a work page as structs; a page without chapters gives one without title and number.
 
     The number is the one in the chapter's id, because titles repeat numbers.
     """
-    pieces = F.filter(F.split(html, f"(?i)(?={CHAPTER_DIV})"), lambda p: p.rlike(f"(?i)^{CHAPTER_DIV}"))
+    pieces = chapter_pieces(html)
 
     def module(found: Column, kind: str) -> Column:
         return F.try_element_at(F.filter(found, lambda m: m["module_type"] == kind), F.lit(1))
@@ -149,7 +164,7 @@ def chapters(html: Column) -> Column:
             first_match(p, rf"(?is)^{CHAPTER_DIV}(\d+)").try_cast("int").alias("chapter_index"),
             F.try_element_at(H.links(heading), F.lit(1))["path"].alias("path"),
             module(modules(p), "summary").alias("summary"), module(modules(p), "notes").alias("notes"),
-            _closed(first_match(p, f"(?is){USERSTUFF}")).alias("content"),
+            userstuff(p).alias("content"),
             module(modules(p), "end_notes").alias("endnotes"))
 
     part = "struct<module_type:string,heading:string,content:string>"
@@ -158,7 +173,7 @@ def chapters(html: Column) -> Column:
         nothing.cast("string").alias("title"), nothing.cast("int").alias("chapter_index"),
         nothing.cast("string").alias("path"), nothing.cast(part).alias("summary"),
         nothing.cast(part).alias("notes"),
-        _closed(first_match(html, WORK_LAYOUT.whole)).alias("content"),
+        WORK_LAYOUT.whole(html).alias("content"),
         nothing.cast(part).alias("endnotes"))
     return F.when(F.size(pieces) > 0, F.transform(pieces, one)).otherwise(F.array(single))
 
@@ -172,13 +187,18 @@ def named_users(html: Column) -> Column:
     return F.filter(H.links(html), lambda link: reference_part(link["path"], "user").isNotNull())
 
 
-def more_users(html: Column) -> Column:
-    return F.coalesce(first_match(html, r">\s*(\d+) more users").try_cast("int"), F.lit(0))
+# How the kudos of a work name users that are not listed, and guests.
+MORE_USERS = r">\s*([\d,]+) more users"
+GUESTS = r"([\d,]+) guests?\s+left\s+kudos\s+on\s+this\s+work!"
+
+
+def more_users(kudos: Column) -> Column:
+    """Users of a kudos paragraph that are not listed; null without the paragraph."""
+    return F.when(kudos.isNotNull(), F.coalesce(parse_count(first_match(kudos, MORE_USERS)), F.lit(0)))
 
 
-def guests(html: Column) -> Column:
-    return F.coalesce(
-        first_match(html, r"(\d+) guests\s+left\s+kudos\s+on\s+this\s+work!").try_cast("int"), F.lit(0))
+def guests(kudos: Column) -> Column:
+    return F.when(kudos.isNotNull(), F.coalesce(parse_count(first_match(kudos, GUESTS)), F.lit(0)))
 
 
 def page_count(pagination: Column) -> Column:
@@ -231,6 +251,7 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
         .withColumn("modules", modules(F.regexp_replace(page, AROUND_CHAPTERS, "")))
     )
     preface = H.inner(page, "h3", cls="byline heading")
+    kudos = H.inner(page, "p", cls="kudos")
 
     def module(kind: str) -> Column:
         return F.try_element_at(F.filter("modules", lambda m: m["module_type"] == kind), F.lit(1))
@@ -261,8 +282,8 @@ def work_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
         F.filter(F.transform(
             H.links(F.coalesce(first_match(page, CHILDREN_MODULE), F.lit(""))),
             lambda c: reference_part(c["path"], "work_id")), lambda c: c.isNotNull()).alias("children"),
-        F.struct(named_users(H.inner(page, "p", cls="kudos")).alias("users"),
-                 more_users(page).alias("more_users"), guests(page).alias("guests")).alias("kudos_from"),
+        F.struct(named_users(kudos).alias("users"), more_users(kudos).alias("more_users"),
+                 guests(kudos).alias("guests")).alias("kudos_from"),
         page_count(H.inner(page, "ol", cls="pagination actions")).alias("comment_pages"),
     )
 

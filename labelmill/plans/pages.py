@@ -63,8 +63,7 @@ def page_counters(spark, sf):
         parse_count(first_match(html, r"<!-- ad ([\d,]*) -->")).alias("ad"),
         parse_count(first_match(html, r"track\(([\d,]*)\)")).alias("track"),
         parse_count(F.try_element_at(prices, F.lit(-1))).alias("last_number"),
-        F.size(H.links(html)).alias("links"), P.guests(html).alias("guests"),
-        P.more_users(html).alias("more_users"), P.page_count(html).alias("comment_pages"))
+        F.size(H.links(html)).alias("links"), P.page_count(html).alias("comment_pages"))
 
 
 def _record(spark, sf):
@@ -72,7 +71,7 @@ def _record(spark, sf):
     return S.pages(spark, sf).select(
         "page_id", "url", H.attribute(html, "html", "lang").alias("language"),
         H.to_text(H.inner(html, "h1")).alias("title"), H.links(html).alias("tags"),
-        F.size(F.regexp_extract_all(html, F.lit(P.ARTICLE_LAYOUT.chapter), F.lit(1))).alias("number_of_chapters"),
+        F.size(P.ARTICLE_LAYOUT.chapters(html)).alias("number_of_chapters"),
         F.date_add(F.to_date(F.lit("2024-01-01")), F.col("page_id").cast("int")).alias("published_at"))
 
 
@@ -194,7 +193,6 @@ ORACLES = {
         try_cast(replace(regexp_extract(html, 'track\(([\d,]*)\)', 1), ',', '') AS INT) AS track,
         try_cast(replace(regexp_extract_all(html, '>[^<]*?(\d[\d,]*)', 1)[-1], ',', '') AS INT) AS last_number,
         CAST(len(regexp_extract_all(html, '(?s)<a [^>]*href="[^"]*"[^>]*>.*?</a>')) AS INT) AS links,
-        0 AS guests, 0 AS more_users,
         coalesce(try_cast(regexp_extract_all(html, '>\s*(\d+)\s*</a\s*>', 1)[-1] AS INT), 1) AS comment_pages
         FROM pages""",
     "page_record_json": f"""WITH {_LINKS}, tags AS (
