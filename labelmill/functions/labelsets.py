@@ -46,9 +46,6 @@ COARSE_MEMBERS = {
     "sexual-content": ["pornography", "incest", "other-sexual"],
 }
 
-# Fixed value: a tag may be mapped to this name to say that it supports no label.
-NO_LABEL = "None"
-
 # Labels from the most to the least frequent one in the published corpus.
 FINE_BY_FREQUENCY = [
     "pornography", "violence", "other-mental-health", "death", "other-sexual", "sexual-abuse",
@@ -124,6 +121,15 @@ COARSE = LabelSet(COARSE_LABELS, by_frequency=COARSE_BY_FREQUENCY)
 LABEL_COLUMNS = {"warnings_fine_open": FINE, "warnings_coarse_open": COARSE}
 
 
+# The label set of a model's vectors, by the level that its name states.
+LEVELS = {"coarse": COARSE, "fine": FINE}
+
+
+def level_of(model: Column) -> Column:
+    """Level of a model: `coarse` where its name says so, else `fine`."""
+    return F.when(model.contains("coarse"), "coarse").otherwise("fine")
+
+
 def label_set(name: str) -> LabelSet:
     """Label set for a works column; unknown names are refused instead of read as coarse."""
     if name not in LABEL_COLUMNS:

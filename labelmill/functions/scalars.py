@@ -34,6 +34,15 @@ def threshold(scores: Column, cut: float = 0.5, inclusive: bool = True) -> Colum
         scores, lambda s: ((s >= bar) if inclusive else (s > bar)).cast("int"))
 
 
+# All white space, which a plain trim would leave in place but for spaces.
+EDGES = r"(?s)^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+\z"
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, EDGES, "")
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -45,12 +54,12 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 def parse_count(text: Column) -> Column:
     """Integer with thousands commas; empty or malformed text gives null."""
-    return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("int")
+    return F.replace(strip(text), F.lit(","), F.lit("")).try_cast("int")
 
 
 def parse_fraction(text: Column) -> Column:
     """`present/planned` with `?` for an unknown plan, as a struct."""
-    parts = F.split(F.trim(text), "/")
+    parts = F.split(strip(text), "/")
     return F.struct(
         F.try_element_at(parts, F.lit(1)).try_cast("int").alias("present"),
         F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("?")).try_cast("int").alias("planned"),
@@ -59,16 +68,12 @@ def parse_fraction(text: Column) -> Column:
 
 def parse_day(text: Column) -> Column:
     """`2020-03-05` to a date; anything else gives null."""
-    return F.try_to_timestamp(F.trim(text), F.lit("yyyy-MM-dd")).cast("date")
+    return F.try_to_timestamp(strip(text), F.lit("yyyy-MM-dd")).cast("date")
 
 
 def parse_clock(text: Column) -> Column:
     """`5 Mar 2020 03:14PM` to a timestamp without zone; anything else gives null."""
-    return F.try_to_timestamp(F.trim(text), F.lit("d MMM yyyy hh:mma")).cast("timestamp_ntz")
-
-
-def iso(moment: Column, with_time: bool = False) -> Column:
-    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss" if with_time else "yyyy-MM-dd")
+    return F.try_to_timestamp(strip(text), F.lit("d MMM yyyy hh:mma")).cast("timestamp_ntz")
 
 
 def file_stem(file_name: Column) -> Column:

@@ -20,22 +20,33 @@ def decode(vector: Column, labels: LabelSet) -> Column:
     return F.transform(F.filter(named, lambda e: e["value"] == 1), lambda e: e["name"])
 
 
-def mask_of(name: Column, labels: LabelSet) -> Column:
-    """Bit of a label name, 0 for an unknown one. `bit_or` over rows then builds a label set."""
-    if len(labels.labels) > 63:
-        raise ValueError("a bit mask holds at most 63 labels")
+#: Labels that one mask holds; the sign bit is left alone.
+BITS = 63
+
+
+def mask_of(name: Column, labels: LabelSet, word: int = 0) -> Column:
+    """Bit of a label name in the mask numbered `word`, 0 if it has none there.
+
+    `bit_or` over rows builds a label set; a vocabulary of more than 63 labels takes several masks.
+    """
     bit = F.lit(0).cast("bigint")
-    for i, label in reversed(list(enumerate(labels.labels))):
+    for i, label in reversed(list(enumerate(labels.labels[BITS * word:BITS * (word + 1)]))):
         bit = F.when(name == label, F.lit(1 << i).cast("bigint")).otherwise(bit)
     return bit
 
 
-def unmask(mask: Column, labels: LabelSet) -> Column:
-    """0/1 vector from a bit mask; null counts as no label."""
-    bits = F.coalesce(mask, F.lit(0).cast("bigint"))
+def n_masks(labels: LabelSet) -> int:
+    return -(-len(labels.labels) // BITS)
+
+
+def unmask(masks: Column | list[Column], labels: LabelSet) -> Column:
+    """0/1 vector from the masks of a vocabulary, or from its only one; null counts as no label."""
+    words = masks if isinstance(masks, list) else [masks]
+    if len(words) != n_masks(labels):
+        raise ValueError(f"{len(labels.labels)} labels take {n_masks(labels)} masks")
     return F.array(*[
-        F.shiftright(bits, i).bitwiseAND(F.lit(1).cast("bigint")).cast("int")
-        for i in range(len(labels.labels))])
+        F.shiftright(F.coalesce(words[i // BITS], F.lit(0).cast("bigint")), i % BITS)
+        .bitwiseAND(F.lit(1).cast("bigint")).cast("int") for i in range(len(labels.labels))])
 
 
 def only_open(names: Column, labels: LabelSet) -> Column:
@@ -52,20 +63,24 @@ def only_closed(names: Column, labels: LabelSet) -> Column:
 def rollup(unit_labels: DataFrame, labels: LabelSet, unit: list[str], label: str = "label") -> DataFrame:
     """Distinct fine labels per unit and coarse label; labels without a coarse one drop out.
 
-    The labels of a unit fold to one bit mask inside each task, so repeated labels never reach the
+    The labels of a unit fold to bit masks inside each task, so repeated labels never reach the
     shuffle, and there is only one. Counting bits per coarse label needs no join.
     """
-    members: dict[str, int] = {}
+    words = range(n_masks(labels))
+    members: dict[str, list[int]] = {}
     for i, name in enumerate(labels.labels):
         if name in labels.coarse_of:
-            members[labels.coarse_of[name]] = members.get(labels.coarse_of[name], 0) | 1 << i
-    counted = F.array(*[
-        F.struct(F.lit(coarse).alias("coarse"),
-                 F.bit_count(F.col("_mask").bitwiseAND(F.lit(bits).cast("bigint"))).cast("bigint")
-                 .alias("fine_labels"))
-        for coarse, bits in members.items()])
+            members.setdefault(labels.coarse_of[name], [0] * len(words))[i // BITS] |= 1 << i % BITS
+
+    def held(bits: list[int]) -> Column:
+        return sum((F.bit_count(F.col(f"_mask{w}").bitwiseAND(F.lit(bits[w]).cast("bigint"))).cast("bigint")
+                    for w in words), F.lit(0).cast("bigint"))
+
+    counted = F.array(*[F.struct(F.lit(coarse).alias("coarse"), held(bits).alias("fine_labels"))
+                        for coarse, bits in members.items()])
+    masks = [F.bit_or(mask_of(F.col(label), labels, w)).alias(f"_mask{w}") for w in words]
     return (
-        unit_labels.groupBy(*unit).agg(F.bit_or(mask_of(F.col(label), labels)).alias("_mask"))
+        unit_labels.groupBy(*unit).agg(*masks)
         .select(*unit, F.inline(counted)).filter(F.col("fine_labels") > 0)
     )
 
@@ -77,12 +92,13 @@ def unmapped(unit_labels: DataFrame, labels: LabelSet, label: str = "label") ->
             .join(F.broadcast(known), label, "left_anti"))
 
 
-def frequency(label_rows: DataFrame, label: str = "label") -> DataFrame:
-    """Count, rank and frequency third of each label, ties by name.
+def frequency(label_rows: DataFrame, labels: LabelSet, label: str = "label") -> DataFrame:
+    """Count, rank and frequency third of each label of the vocabulary that occurs, ties by name.
 
-    The ranking window runs over one row per label, after the counting.
+    The ranking window runs over one row per label, after the counting: never over free names.
     """
-    counts = label_rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    known = label_rows.filter(F.col(label).isin(labels.labels))
+    counts = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     order = Window.orderBy(F.col("n").desc(), F.col("label"))
     third = F.ntile(len(SECTIONS)).over(order)
     names = F.array(*[F.lit(s) for s in SECTIONS])

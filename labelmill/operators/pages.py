@@ -332,7 +332,7 @@ def comment_rows(pages: DataFrame, key: str = "work_id") -> DataFrame:
         .filter(block.rlike(r"(?i)^<li\b"))
         .withColumn("comment_id", F.coalesce(
             first_match(block, r"""(?i)^<li\b[^>]*\bid\s*=\s*["'][^"']*?(\d+)["']"""),
-            F.concat(F.lit("#"), F.col("position").cast("string"))))
+            F.concat(F.col(key).cast("string"), F.lit("#"), F.col("position").cast("string"))))
     )
     # Each comment is seen once at its own level and once, as a possible parent, one level down.
     seen = cut.withColumn("as_parent", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(

@@ -8,10 +8,12 @@ averages, reports - is computed from them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.functions.labelsets import LabelSet
+from labelmill.functions.labelsets import LabelSet, level_of
 from labelmill.functions.scalars import f1, precision, recall, safe_div, show_score
 from labelmill.operators.support import LENGTH_RANGES, SUPPORT_LEVELS, well_supported
 
@@ -38,28 +40,68 @@ def unify(predictions: DataFrame) -> DataFrame:
         .cast("array<int>").alias("pred"))
 
 
+#: One label set for all models, or one for each level that a model's name states.
+Labels = LabelSet | dict[str, LabelSet]
+
+
+def _by_level(labels: Labels, of: Callable[[LabelSet], Column]) -> Column:
+    """A column worked out from the label set of the row's model."""
+    if isinstance(labels, LabelSet):
+        return of(labels)
+    chosen = F.lit(None)
+    for level, own in labels.items():
+        chosen = F.when(level_of(F.col("model")) == level, of(own)).otherwise(chosen)
+    return chosen
+
+
+def flaw(labels: Labels) -> Column:
+    """What keeps a row from being scored; null for a good row.
+
+    Vectors must be there and have one value for each label of the model's set.
+    """
+    width = _by_level(labels, lambda own: F.lit(len(own.labels)))
+    return (F.when(F.col("truth").isNull(), "no truth").when(F.col("pred").isNull(), "no prediction")
+            .when(width.isNull(), "no label set")
+            .when((F.size("truth") != width) | (F.size("pred") != width), "wrong width"))
+
+
+def accepted(preds: DataFrame, labels: Labels) -> DataFrame:
+    """Rows that can be scored."""
+    return preds.filter(flaw(labels).isNull())
+
+
+def rejected(preds: DataFrame, labels: Labels) -> DataFrame:
+    """The other rows, each with its `flaw`."""
+    return preds.withColumn("flaw", flaw(labels)).filter(F.col("flaw").isNotNull())
+
+
+def _cells(labels: Labels) -> Column:
+    """(t, p) of each label; a row with a flaw fails the job instead of being counted in part."""
+    pairs = F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))
+    return F.when(flaw(labels).isNull(), pairs).otherwise(F.raise_error(F.concat(
+        F.lit("a prediction has "), flaw(labels), F.lit("; list such rows with scoring.rejected"))))
+
+
 def _same_at(positions: list[int]) -> Column:
     same = F.lit(True)
     for i in positions:
-        same = same & (F.col("truth")[i] == F.col("pred")[i])
+        same = same & (F.get("truth", F.lit(i)) == F.get("pred", F.lit(i)))
     return same
 
 
-def confusion(preds: DataFrame, labels: LabelSet, by: list[str]) -> DataFrame:
+def confusion(preds: DataFrame, labels: Labels, by: list[str]) -> DataFrame:
     """Counts per `by` and label: tp, fp, fn, tn, rows `n`, and rows that match exactly.
 
-    `exact`, `exact_open` and `exact_closed` count rows and repeat on each label of a group.
+    `exact`, `exact_open` and `exact_closed` count rows and repeat on each label of a group. With a label
+    set per level, `by` must hold `model`, and each model's vectors are named by the set of its level.
     """
-    whole = list(range(len(labels.labels)))
     cells = (
         preds.withColumns({
             "_exact": F.col("truth") == F.col("pred"),
-            "_exact_open": _same_at(labels.positions(labels.open_labels)),
-            "_exact_closed": _same_at(labels.positions(labels.closed_labels)),
+            "_exact_open": _by_level(labels, lambda own: _same_at(own.positions(own.open_labels))),
+            "_exact_closed": _by_level(labels, lambda own: _same_at(own.positions(own.closed_labels))),
         })
-        .select(*by, "_exact", "_exact_open", "_exact_closed",
-                F.posexplode_outer(F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p"))))
-        .filter(F.col("pos") < len(whole))
+        .select(*by, "_exact", "_exact_open", "_exact_closed", F.posexplode(_cells(labels)))
     )
     truth, pred = F.col("col.t") == 1, F.col("col.p") == 1
     return (
@@ -72,7 +114,7 @@ def confusion(preds: DataFrame, labels: LabelSet, by: list[str]) -> DataFrame:
             F.count_if("_exact").alias("exact"),
             F.count_if("_exact_open").alias("exact_open"),
             F.count_if("_exact_closed").alias("exact_closed"))
-        .withColumn("label", labels.literal()[F.col("idx")])
+        .withColumn("label", F.get(_by_level(labels, LabelSet.literal), F.col("idx")))
     )
 
 
@@ -103,7 +145,7 @@ def average(conf: DataFrame, by: list[str]) -> DataFrame:
         F.when(F.col("n") > 0, F.col(c)).alias(c) for c in (*MACRO, *MICRO, "sub_acc")])
 
 
-def score(preds: DataFrame, labels: LabelSet, by: list[str]) -> DataFrame:
+def score(preds: DataFrame, labels: Labels, by: list[str]) -> DataFrame:
     """Macro and micro scores per `by`."""
     return average(confusion(preds, labels, by), by)
 
@@ -131,7 +173,7 @@ def row_slices(model: Column, n_words: Column, support_fine: Column, support_coa
     return name_slices({**lengths, **supports})
 
 
-def slice_confusion(preds: DataFrame, labels: LabelSet, model: str = "model",
+def slice_confusion(preds: DataFrame, labels: Labels, model: str = "model",
                     slices: str = "slices", names: list[str] | None = None) -> DataFrame:
     """Confusion counts per model, slice and label in one pass over the predictions.
 
@@ -143,8 +185,8 @@ def slice_confusion(preds: DataFrame, labels: LabelSet, model: str = "model",
     combined = confusion(preds, labels, [model, slices])
     every = F.array(*[F.lit(s) for s in (slice_names() if names is None else names)])
     member = F.when(F.col("slice").isin(OPEN, CLOSED), ALL).otherwise(F.col("slice"))
-    opened = F.array_contains(F.array(*[F.lit(n) for n in sorted(labels.open_labels)])
-                              .cast("array<string>"), F.col("label"))
+    opened = _by_level(labels, lambda own: F.array_contains(
+        F.array(*[F.lit(n) for n in sorted(own.open_labels)]).cast("array<string>"), F.col("label")))
     exact = (F.when(F.col("slice") == OPEN, F.col("exact_open"))
              .when(F.col("slice") == CLOSED, F.col("exact_closed")).otherwise(F.col("exact")))
     wanted = (F.when(F.col("slice") == OPEN, F.col(model).contains("fine") & opened)
@@ -165,17 +207,19 @@ def slice_names() -> list[str]:
     return [ALL, *LENGTH_RANGES, *[f"support_{k}" for k in SUPPORT_LEVELS], OPEN, CLOSED]
 
 
-def score_slices(preds: DataFrame, labels: LabelSet, model: str = "model",
+def score_slices(preds: DataFrame, labels: Labels, model: str = "model",
                  slices: str = "slices", names: list[str] | None = None) -> DataFrame:
     """Macro, micro and exact-match scores per model and slice in one pass."""
     return average(slice_confusion(preds, labels, model, slices, names), [model, "slice"])
 
 
 def sections(conf: DataFrame, dim: DataFrame, by: list[str]) -> DataFrame:
-    """Micro scores per frequency section. `dim` has one row per label with its section."""
+    """Micro scores per frequency section. `dim` has one row per label, or level and label, with its section."""
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
+    keys = ["level", "label"] if "level" in dim.columns else ["label"]
+    leveled = conf.withColumn("level", level_of(F.col("model"))) if "level" in keys else conf
     return (
-        conf.join(F.broadcast(dim.select("label", "section")), "label")
+        leveled.join(F.broadcast(dim.select(*keys, "section")), keys)
         .groupBy(*by, "section")
         .agg(precision(tp, fp).alias("p"), recall(tp, fn).alias("r"), f1(tp, fp, fn).alias("f1"))
     )
@@ -196,15 +240,14 @@ def roc_auc(conf: DataFrame, by: list[str]) -> DataFrame:
 def report(preds: DataFrame, labels: LabelSet) -> DataFrame:
     """Per-label precision, recall, F1 and support, then micro, macro, weighted and sample averages."""
     width = len(labels.labels)
-    at = [(F.col("truth")[i] == 1, F.col("pred")[i] == 1) for i in range(width)]
+    at = [(F.get("truth", F.lit(i)) == 1, F.get("pred", F.lit(i)) == 1) for i in range(width)]
     hits = sum((F.when(t & p, 1).otherwise(0) for t, p in at), F.lit(0))
     said = sum((F.when(p, 1).otherwise(0) for _, p in at), F.lit(0))
     real = sum((F.when(t, 1).otherwise(0) for t, _ in at), F.lit(0))
     sampled = preds.select(
         "truth", "pred", safe_div(hits, said).alias("sp"), safe_div(hits, real).alias("sr"),
         safe_div(2 * hits, said + real).alias("sf"))
-    cells = sampled.select("sp", "sr", "sf", F.posexplode_outer(
-        F.arrays_zip(F.col("truth").alias("t"), F.col("pred").alias("p")))).filter(F.col("pos") < width)
+    cells = sampled.select("sp", "sr", "sf", F.posexplode(_cells(labels)))
     truth, pred = F.col("col.t") == 1, F.col("col.p") == 1
     conf = cells.groupBy(F.col("pos").alias("idx")).agg(
         F.count_if(truth & pred).alias("tp"), F.count_if(~truth & pred).alias("fp"),
@@ -265,10 +308,16 @@ def property_table(slice_scores: DataFrame, section_scores: DataFrame | None = N
 
 
 def class_table(conf: DataFrame, dim: DataFrame, models: list[str]) -> DataFrame:
-    """Labels in frequency order with one F1 column per model."""
-    wide = per_label(conf).groupBy("label").pivot("model", models).agg(F.first("f1"))
-    return (wide.join(F.broadcast(dim.select("label", "freq_rank")), "label")
-            .select("freq_rank", "label", *models).orderBy("freq_rank"))
+    """Labels in frequency order with one F1 column per model.
+
+    With a `level` in `dim` there is a block of labels for each level, filled by the models of that level: a
+    name may be a label of both.
+    """
+    keys = ["level", "label"] if "level" in dim.columns else ["label"]
+    leveled = conf.withColumn("level", level_of(F.col("model"))) if "level" in keys else conf
+    wide = per_label(leveled).groupBy(*keys).pivot("model", models).agg(F.first("f1"))
+    return (wide.join(F.broadcast(dim.select(*keys, "freq_rank")), keys)
+            .select(*keys[:-1], "freq_rank", "label", *models).orderBy(*keys[:-1], "freq_rank"))
 
 
 def training_metrics(preds: DataFrame, labels: LabelSet) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions.labelsets import LabelSet
@@ -68,8 +68,20 @@ def tag_support(tags: DataFrame, tag_map: DataFrame, labels: LabelSet, unit: str
     return counted.select(unit, *keep, *[vector.alias(name) for name, vector in vectors.items()])
 
 
+def one_per_key(rows: DataFrame, key: str = "work_id") -> DataFrame:
+    """The row with the smallest content hash of each key."""
+    content = F.xxhash64(*rows.columns)
+    first = Window.partitionBy(key).orderBy(content)
+    return rows.withColumn("_nth", F.row_number().over(first)).filter(F.col("_nth") == 1).drop("_nth")
+
+
 def work_records(works: DataFrame, tag_map: DataFrame, fine: LabelSet, coarse: LabelSet) -> DataFrame:
-    """Work metadata with support vectors and the fine labels split by openness."""
+    """Work metadata with support vectors and the fine labels split by openness.
+
+    Of works that share an id one row stays (`hydrate.duplicate_keys` lists them), so that neither
+    counts nor joins by id multiply.
+    """
+    works = one_per_key(works)
     support = tag_support(works.select("work_id", F.col("freeform").alias("tags")), tag_map, fine,
                           coarse=coarse)
     return works.join(support, "work_id").select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.session import durable
@@ -86,29 +86,69 @@ def _salted_join(left: DataFrame, right: DataFrame, key: str, row_id: str, share
     return spread.join(copied, [key, "_salt"], "left").drop("_salt")
 
 
-def reattach(comments: DataFrame, rounds: int = 64) -> DataFrame:
-    """Live comments, replies to a deleted comment moved to its nearest live ancestor.
+def _inside(comment: str, within: str | None) -> Column:
+    """Key of a comment: its id, or its id in its work. Ids may repeat from work to work."""
+    return F.col(comment) if within is None else F.when(F.col(comment).isNotNull(), F.struct(within, comment))
+
 
-    Expects `comment_id`, `parent_comment`, `deleted`. Only deleted comments are followed, and each
-    round doubles the distance covered, so a chain of n deleted comments takes about log2(n) rounds.
-    Every round is written to the checkpoint folder.
+def _follow(steps: DataFrame, rounds: int) -> DataFrame:
+    """(node, target, hops): `steps` followed until the target has no step of its own.
+
+    Each round doubles the distance covered, so a chain of n steps takes about log2(n) rounds. Every
+    round is written to the checkpoint folder.
     """
-    gone = comments.filter("deleted").select(
-        F.col("comment_id").alias("gone"), F.col("parent_comment").alias("target"))
-    gone = durable(gone)
+    steps = durable(steps)
     for _ in range(rounds):
-        hop = gone.select(F.col("gone").alias("target"), F.col("target").alias("_next"),
-                          F.lit(True).alias("_hit"))
-        stepped = _salted_join(gone, hop, "target", "gone")
-        if stepped.filter("_hit").limit(1).count() == 0:
-            break
-        gone = durable(stepped.select(
-            "gone", F.when(F.col("_hit"), F.col("_next")).otherwise(F.col("target")).alias("target")))
-    else:
-        raise ValueError("deleted comments form a cycle")
-    moved = gone.select(F.col("gone").alias("parent_comment"), F.col("target").alias("_target"),
-                        F.lit(True).alias("_moved"))
-    live = _salted_join(comments.filter(~F.col("deleted")), moved, "parent_comment", "comment_id")
+        hop = steps.select(F.col("node").alias("target"), F.col("target").alias("_next"),
+                           F.col("hops").alias("_hops"), F.lit(True).alias("_hit"))
+        stepped = _salted_join(steps, hop, "target", "node")
+        if stepped.filter(F.col("_hit") & F.col("_next").isNotNull()).limit(1).count() == 0:
+            return durable(stepped.select(
+                "node", F.when(F.col("_hit"), F.col("_next")).otherwise(F.col("target")).alias("target"),
+                (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
+        steps = durable(stepped.select(
+            "node", F.when(F.col("_hit"), F.col("_next")).otherwise(F.col("target")).alias("target"),
+            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")))
+    raise ValueError("comments form a cycle")
+
+
+def reattach(comments: DataFrame, rounds: int = 64, within: str | None = None) -> DataFrame:
+    """Live comments, replies to a deleted comment moved to its nearest live ancestor.
+
+    Expects `comment_id`, `parent_comment`, `deleted`, and the column that `within` names, such as the
+    work, if ids are unique only inside it. Only deleted comments are followed.
+    """
+    keyed = comments.withColumns({"_id": _inside("comment_id", within), "_up": _parent(within)})
+    gone = keyed.filter("deleted").select(F.col("_id").alias("node"), F.col("_up").alias("target"), F.lit(1).alias("hops"))
+    moved = _follow(gone, rounds).select(
+        F.col("node").alias("_up"), F.col("target").alias("_target"), F.lit(True).alias("_moved"))
+    live = _salted_join(keyed.filter(~F.col("deleted")), moved, "_up", "_id")
+    target = F.col("_target") if within is None else F.col("_target")["comment_id"]
     return live.withColumn(
-        "parent_comment", F.when(F.col("_moved"), F.col("_target")).otherwise(F.col("parent_comment"))
+        "parent_comment", F.when(F.col("_moved"), target).otherwise(F.col("parent_comment"))
     ).select(*comments.columns).drop("deleted")
+
+
+def _parent(within: str | None) -> Column:
+    if within is None:
+        return F.col("parent_comment")
+    return F.when(F.col("parent_comment").isNotNull(), F.struct(F.col(within), F.col("parent_comment").alias("comment_id")))
+
+
+def trees(comments: DataFrame, rounds: int = 64, within: str | None = None) -> DataFrame:
+    """Adds `root` and `depth` (0 for a root) to comments with `comment_id` and `parent_comment`.
+
+    A comment whose parent is not among the rows is a root. No task ever holds a whole tree.
+    """
+    keyed = comments.withColumns({"_id": _inside("comment_id", within), "_up": _parent(within)})
+    known = keyed.select(F.col("_id").alias("_up"), F.lit(True).alias("_known")).distinct()
+    linked = _salted_join(keyed.select("_id", "_up"), known, "_up", "_id").select(
+        F.col("_id").alias("node"), F.when(F.col("_known"), F.col("_up")).alias("target"),
+        F.when(F.col("_known"), 1).otherwise(0).alias("hops"))
+    # Roots point at themselves without a step, so that chains end there.
+    top = linked.filter(F.col("target").isNull()).select("node", F.col("node").alias("_root"))
+    found = _follow(linked.filter(F.col("target").isNotNull()), rounds)
+    placed = found.select(F.col("node").alias("_id"), F.col("target").alias("_root"), "hops").unionByName(
+        top.select(F.col("node").alias("_id"), "_root", F.lit(0).alias("hops")))
+    root = F.col("_root") if within is None else F.col("_root")["comment_id"]
+    return keyed.join(placed, "_id").select(*comments.columns, root.alias("root"), F.col("hops").alias("depth"))

@@ -39,7 +39,7 @@ def label_rollup(spark, sf):
 
 
 def label_frequency(spark, sf):
-    return labeling.frequency(S.event_label_rows(spark, sf))
+    return labeling.frequency(S.event_label_rows(spark, sf), S.EVENTS)
 
 
 def length_buckets(spark, sf):

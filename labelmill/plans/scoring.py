@@ -10,7 +10,7 @@ from labelmill.plans import standins as S
 
 
 def _event_dim(spark, sf):
-    counted = labeling.frequency(S.event_label_rows(spark, sf))
+    counted = labeling.frequency(S.event_label_rows(spark, sf), S.EVENTS)
     return counted.select("label", "section", "freq_rank")
 
 

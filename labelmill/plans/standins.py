@@ -45,11 +45,11 @@ FULL_TAGS = [
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "documents"), "doc_id")
+    return spread(read_table(spark, sf, "documents"))
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(read_table(spark, sf, "pages"), "page_id")
+    return spread(read_table(spark, sf, "pages"))
 
 
 def event_units(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -26,18 +24,14 @@ def build_session(master: str | None = None, name: str = "labelmill", **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints, as named by the cluster.
+    """Shared folder for checkpoints: the one spark.checkpoint.dir names, else one in the warehouse.
 
-    Only a local master, where the machine is the whole cluster, may fall back to a temporary folder.
+    Both are folders that every executor can reach; nothing is written to a machine's own temporary folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = context.getConf().get("spark.checkpoint.dir")
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            configured = tempfile.mkdtemp(prefix="labelmill-checkpoints-")
-        context.setCheckpointDir(configured)
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"{warehouse}/_checkpoints")
     return context.getCheckpointDir()
 
 
@@ -58,11 +52,11 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(table, schema=fields)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rebalance a scan that has fewer partitions than the session has cores.
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan evened out over tasks, the same plan at every size.
 
-    A table of few row groups would otherwise be parsed by one task. Large scans already have more
-    partitions than cores and pass through without a shuffle.
+    A table of few row groups would otherwise be parsed by few tasks. Where tables come in many files, set
+    `spark.labelmill.rebalance` to false and the scan is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    wanted = df.sparkSession.conf.get("spark.labelmill.rebalance", "true") == "true"
+    return df.hint("rebalance") if wanted else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.functions.scalars import file_stem
+from labelmill.functions.scalars import file_stem, strip
 
 WORK = ("work_id string, freeform array<string>, warnings_fine_open array<string>, "
         "warnings_coarse_open array<string>, n_words bigint, n_chapters int")
@@ -53,7 +53,7 @@ def read_splits(spark: SparkSession, folder: str) -> DataFrame:
     """Id lists, one work per line; the file stem names the split."""
     return (
         spark.read.text(folder)
-        .select(F.trim("value").alias("work_id"),
+        .select(strip(F.col("value")).alias("work_id"),
                 file_stem(F.col("_metadata.file_name")).alias("split"))
         .filter(F.col("work_id") != "")
     )
@@ -64,10 +64,10 @@ def read_tag_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Returns the good rows and the rejected lines, which do not have exactly two fields.
     """
-    fields = F.split(F.trim("value"), ",")
-    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", fields.alias("f"))
+    fields = F.split(strip(F.col("value")), ",")
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "").select("value", fields.alias("f"))
     good = lines.filter(F.size("f") == 2).select(
-        F.trim(F.col("f")[0]).alias("tag"), F.trim(F.col("f")[1]).alias("warning"))
+        strip(F.col("f")[0]).alias("tag"), strip(F.col("f")[1]).alias("warning"))
     return good, lines.filter(F.size("f") != 2).select(F.col("value").alias("line"))
 
 
