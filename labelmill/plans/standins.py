@@ -130,9 +130,11 @@ def doc_tags(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def doc_sliced(spark: SparkSession, sf: str) -> DataFrame:
-    """Predictions with the slices each row belongs to. Texts are read once, for facts and tags."""
+    """Predictions with the slices each row belongs to. Texts of labelled documents are read once, for facts
+    and tags; others are dropped by id before any work is done on them."""
     facts = _facts()
-    read_once = documents(spark, sf).select(
+    wanted = documents(spark, sf).join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    read_once = wanted.select(
         "doc_id", X.tokens(F.col("text")).alias("tags"), *[fact.alias(name) for name, fact in facts.items()])
     supported = tag_support(
         read_once, tag_map(spark, DOC_TAGS), DOCS, "doc_id", DOCS_COARSE, keep=list(facts))

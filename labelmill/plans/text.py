@@ -26,13 +26,14 @@ def doc_chapters(spark, sf):
 
 
 def prepare_dataset(spark, sf):
-    """Labelled documents, each chapter cleaned on its own. Cleaned before the join on the id: only
-    digests are shuffled."""
+    """All documents, each chapter cleaned on its own; labels are null where there are none. Cleaned before
+    the join on the id: only digests are shuffled."""
     cleaned = S.documents(spark, sf).select(
         "doc_id", F.md5(X.join_chapters(X.chapters(F.col("text")), clean_html)).alias("md5"))
     names = labeling.decode(F.array("quality", "toxic"), S.DOCS)
-    return cleaned.join(read_table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", "md5", F.array_join(labeling.encode(names, S.DOCS), "").alias("labels"))
+    encoded = F.when(F.col("quality").isNotNull(), F.array_join(labeling.encode(names, S.DOCS), ""))
+    return cleaned.join(read_table(spark, sf, "labels"), "doc_id", "left").select(
+        "doc_id", "md5", encoded.alias("labels"))
 
 
 def _tokens(spark, sf):
@@ -103,7 +104,7 @@ ORACLES = {
               FROM (SELECT doc_id, string_split(text, chr(10)) AS c FROM documents))""",
     "prepare_dataset": f"""SELECT doc_id, md5(array_to_string([{clean_sql(html_text_sql('x'))}
             for x in string_split(text, chr(10))], ' ')) AS md5, quality::VARCHAR || toxic::VARCHAR AS labels
-        FROM documents JOIN labels USING (doc_id)""",
+        FROM documents LEFT JOIN labels USING (doc_id)""",
     "tokenize": f"""WITH {_WORDS} SELECT doc_id, CAST(len(tokens) AS INT) AS tokens,
         CAST(len(list_distinct(tokens)) AS INT) AS distinct_tokens FROM words""",
     "truncate_tokens": f"""WITH {_WORDS} SELECT doc_id, CAST(least(len(tokens), {MAX_TOKENS}) AS INT) AS kept,
