@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -39,6 +40,18 @@ def _literal_map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+def _named(name: Column) -> Column:
+    """Characters of a named reference; null for an unknown name.
+
+    The table is one string constant, because plans with a map of this size in every field are slow to
+    optimise; only references search it.
+    """
+    table = F.lit("".join(f"\x01{n}\x02{characters}" for n, characters in sorted(NAMES.items())) + "\x01")
+    key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    at = F.position(key, table)
+    return F.when(at > 0, F.substring_index(F.substring(table, at + F.length(key), F.lit(3)), "\x01", 1))
+
+
 def _code_point(digits: Column, base: int) -> Column:
     """Character of a code in digits; null when there is none."""
     short = F.regexp_replace(digits, "^0+", "")
@@ -56,18 +69,23 @@ def decode_entities(text: Column) -> Column:
     What a reference gives is never read again. Unknown names stay as they are; codes without a
     character give U+FFFD.
     """
-    pieces = F.regexp_extract_all(text, F.lit(rf"{REFERENCE}|[^&]+|&"), F.lit(0))
-    names = _literal_map(NAMES, "map<string,string>")
-
     def one(piece: Column) -> Column:
         body = F.regexp_replace(F.substring(piece, 2, 1 << 20), ";$", "")
-        named = F.coalesce(names[body], piece)
         number = F.when(piece.rlike("^&#[xX]"), _code_point(F.substring(body, 3, 1 << 20), 16)).otherwise(
             _code_point(F.substring(body, 2, 1 << 20), 10))
-        return F.when(piece.startswith("&#") & (F.length(piece) > 2), number).when(
-            piece.startswith("&") & (F.length(piece) > 1), named).otherwise(piece)
+        return F.when(~piece.startswith("&") | (F.length(piece) == 1), piece).when(
+            piece.startswith("&#"), number).otherwise(F.coalesce(_named(body), piece))
+
+    def decoded(value: Column) -> Column:
+        pieces = F.regexp_extract_all(value, F.lit(rf"{REFERENCE}|[^&]+|&"), F.lit(0))
+        return F.when(F.contains(value, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(value)
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+    return let(text, decoded)
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def one_line(text: Column) -> Column:
@@ -76,10 +94,12 @@ def one_line(text: Column) -> Column:
 
 def to_text(html: Column) -> Column:
     """Shown text of a page or fragment on one line."""
-    shown = F.regexp_replace(html, HIDDEN, " ")
-    shown = F.regexp_replace(F.regexp_replace(shown, INLINE, ""), TAG, " ")
-    stripped = F.when(F.contains(html, F.lit("<")), shown).otherwise(html)
-    return one_line(decode_entities(stripped))
+    def stripped(value: Column) -> Column:
+        shown = F.regexp_replace(value, HIDDEN, " ")
+        return F.when(F.contains(value, F.lit("<")), F.regexp_replace(
+            F.regexp_replace(shown, INLINE, ""), TAG, " ")).otherwise(value)
+
+    return one_line(decode_entities(let(html, stripped)))
 
 
 def open_tag(tag: str, **attributes: str) -> str:
@@ -106,8 +126,7 @@ def _own_content(after: Column, tag: str) -> Column:
             depth.alias("depth"),
             F.when(depth == 0, done["kept"]).otherwise(F.concat(done["kept"], piece)).alias("kept")))
 
-    found = F.aggregate(pieces, start, step)
-    return F.when(found["depth"] == 0, found["kept"])
+    return F.aggregate(pieces, start, step, lambda found: F.when(found["depth"] == 0, found["kept"]))
 
 
 def inner(html: Column, tag: str, **attributes: str) -> Column:
@@ -116,6 +135,12 @@ def inner(html: Column, tag: str, **attributes: str) -> Column:
         html, rf"(?is){open_tag(tag, **attributes)}(.*)\z", 1), F.lit("")), tag)
 
 
+def outer(html: Column, tag: str, **attributes: str) -> Column:
+    """The first such element with its own tags; null when there is none."""
+    return let(html, lambda value: F.concat(
+        F.regexp_extract(value, rf"(?is){open_tag(tag, **attributes)}", 0), inner(value, tag, **attributes), F.lit(f"</{tag}>")))
+
+
 def children(fragment: Column) -> Column:
     """Start tags of the elements that lie directly in a fragment, in order.
 

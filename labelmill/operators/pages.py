@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.functions import html as H
+from labelmill.functions import text as X
 from labelmill.functions.scalars import (
     first_match, parse_clock, parse_count, parse_day, parse_fraction, reference_part)
 
@@ -112,18 +113,40 @@ def module_type(class_list: Column) -> Column:
 MODULE_START = r"""(?i)(?=<div\b[^>]*\bclass\s*=\s*["'][^"']*\bmodule\b)"""
 
 
-def modules(html: Column) -> Column:
-    """Modules of a work page - summary, notes, end notes - as (type, heading, content).
+MODULE = ("struct<module_type:string,heading:string,content:string,associations:string,jumps:array<string>>")
 
-    The page is cut where a module starts, so each rule sees one module and what follows it.
+
+def modules(html: Column, in_chapter: bool = False) -> Column:
+    """Modules of a work page - summary, notes, end notes - as structs.
+
+    Fields: type, heading, content, `associations` (the list of related works, as HTML) and `jumps`, the paragraphs
+    that point to other notes: marked ones around a work, all direct ones in a chapter, which has no
+    associations. The page is cut where a module starts; each module ends at its own end tag.
     """
     pieces = F.filter(F.split(html, MODULE_START), lambda p: p.rlike(r"""(?i)^<div\b[^>]*\bmodule\b"""))
-    parsed = F.transform(pieces, lambda p: F.struct(
-        module_type(F.regexp_extract(p, r"""(?i)^<div\b[^>]*\bclass\s*=\s*["']([^"']*)["']""", 1))
-        .alias("module_type"),
-        H.to_text(H.inner(p, "h3", cls="heading")).alias("heading"),
-        H.inner(p, "blockquote", cls="userstuff").alias("content")))
-    return F.filter(parsed, lambda m: m["module_type"] != "userstuff")
+
+    kind = r"""(?i)^<div\b[^>]*\bclass\s*=\s*["']([^"']*)["']"""
+    jump = H.open_tag("p") if in_chapter else H.open_tag("p", cls="jump")
+    # Step by step, so that each part is worked out once: own content, its quote, the rest.
+    bounded = F.transform(pieces, lambda p: F.struct(
+        module_type(F.regexp_extract(p, kind, 1)).alias("module_type"), F.coalesce(H.inner(p, "div"), p).alias("own")))
+    quoted = F.transform(F.filter(bounded, lambda m: m["module_type"] != "userstuff"), lambda m: F.struct(
+        m["module_type"].alias("module_type"), m["own"].alias("own"),
+        H.inner(m["own"], "blockquote", cls="userstuff").alias("content")))
+    nothing = F.lit(None).cast("string")
+    return F.transform(quoted, lambda m: F.struct(
+        m["module_type"].alias("module_type"),
+        H.to_text(H.inner(m["own"], "h3", cls="heading")).alias("heading"), m["content"].alias("content"),
+        (nothing if in_chapter else H.outer(m["own"], "ul", cls="associations")).alias("associations"),
+        F.regexp_extract_all(
+            F.replace(m["own"], F.coalesce(F.nullif(m["content"], F.lit("")), F.lit("\x00")), F.lit("")),
+            F.lit(rf"(?is){jump}.*?</p\s*>"), F.lit(0)).alias("jumps")))
+
+
+def association_types(associations: Column) -> Column:
+    """Kinds of the related works that a list of associations names, in order."""
+    items = F.regexp_extract_all(associations, F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1))
+    return F.transform(items, lambda item: X.classify(H.to_text(item)))
 
 
 def sections(pages: DataFrame, kinds: dict[str, tuple[str, str | None]], key: str = "page_id") -> DataFrame:
@@ -157,17 +180,20 @@ def chapters(html: Column) -> Column:
     def module(found: Column, kind: str) -> Column:
         return F.try_element_at(F.filter(found, lambda m: m["module_type"] == kind), F.lit(1))
 
-    def one(p: Column) -> Column:
-        heading = H.inner(p, "h3", cls="title")
+    def read(p: Column) -> Column:
+        return F.struct(
+            p.alias("p"), H.inner(p, "h3", cls="title").alias("heading"), modules(p, True).alias("modules"))
+
+    def one(c: Column) -> Column:
         return F.struct(
-            H.to_text(heading).alias("title"),
-            first_match(p, rf"(?is)^{CHAPTER_DIV}(\d+)").try_cast("int").alias("chapter_index"),
-            F.try_element_at(H.links(heading), F.lit(1))["path"].alias("path"),
-            module(modules(p), "summary").alias("summary"), module(modules(p), "notes").alias("notes"),
-            userstuff(p).alias("content"),
-            module(modules(p), "end_notes").alias("endnotes"))
-
-    part = "struct<module_type:string,heading:string,content:string>"
+            H.to_text(c["heading"]).alias("title"),
+            first_match(c["p"], rf"(?is)^{CHAPTER_DIV}(\d+)").try_cast("int").alias("chapter_index"),
+            F.try_element_at(H.links(c["heading"]), F.lit(1))["path"].alias("path"),
+            module(c["modules"], "summary").alias("summary"), module(c["modules"], "notes").alias("notes"),
+            userstuff(c["p"]).alias("content"),
+            module(c["modules"], "end_notes").alias("endnotes"))
+
+    part = MODULE
     nothing = F.lit(None)
     single = F.struct(
         nothing.cast("string").alias("title"), nothing.cast("int").alias("chapter_index"),
@@ -175,7 +201,7 @@ def chapters(html: Column) -> Column:
         nothing.cast(part).alias("notes"),
         WORK_LAYOUT.whole(html).alias("content"),
         nothing.cast(part).alias("endnotes"))
-    return F.when(F.size(pieces) > 0, F.transform(pieces, one)).otherwise(F.array(single))
+    return F.when(F.size(pieces) > 0, F.transform(F.transform(pieces, read), one)).otherwise(F.array(single))
 
 
 def text_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -363,6 +389,18 @@ def comment_rows(pages: DataFrame, key: str = "work_id") -> DataFrame:
             F.lit("abbreviation"), H.to_text(H.inner(block, "abbr", cls="timezone"))).alias("timezone"))
 
 
+def full_record(pages: DataFrame, key: str = "work_id") -> DataFrame:
+    """The page record with its comments, in page order; null for pages that cannot be read."""
+    rows = comment_rows(pages, key)
+    fields = [c for c in rows.columns if c not in (key, "position")]
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(
+        "position", *fields)), lambda a, b: a["position"] - b["position"]).alias("comments"))
+    comments = F.transform("comments", lambda c: F.struct(*[c[name].alias(name) for name in fields]))
+    nothing = F.array()
+    return work_record(pages, key).join(listed, key, "left").withColumn(
+        "comments", F.when(F.col("status") == "ok", F.coalesce(comments, nothing)))
+
+
 def record_json(record: DataFrame, key: str) -> DataFrame:
     """Record as one JSON document per row, dates in ISO form."""
     return record.select(key, F.to_json(
@@ -384,16 +422,23 @@ STATISTICS = ["published", "status", "words", "chapters", "comments", "kudos", "
 def work_rules() -> dict[str, Column]:
     """Guards of work pages: what must hold at most once, and which modules and numbers are known."""
     html = F.col("html")
-    known = ["summary", "notes", "end_notes"]
+    known = ["summary", "notes", "end_notes", "series", "children"]
     stats = F.regexp_extract_all(
         F.coalesce(H.inner(html, "dl", cls="stats"), F.lit("")),
         F.lit(r"""(?i)<dd\b[^>]*\bclass\s*=\s*["']([^"'\s]+)"""), F.lit(1))
+    tags = F.regexp_extract_all(html, F.lit(r"""(?i)<dd\b[^>]*\bclass\s*=\s*["']([^"'\s]+)\s+tags\b"""), F.lit(1))
+    threads = F.filter(H.children(H.inner(html, "div", id="comments_placeholder")), lambda tag: H.has(tag, "ol", cls="thread"))
+    comments = F.split(html, THREAD_MARK)
     return {
         "unknown statistic": F.size(F.array_except(stats, F.array(*[F.lit(s) for s in STATISTICS]))) > 0,
+        "unknown tag type": F.size(F.array_except(tags, F.array(*[F.lit(t) for t in TAG_TYPES]))) > 0,
         "several languages": F.size(H.inner_all(html, "dd", cls="language")) > 1,
         "unknown module": F.exists(modules(html), lambda m: ~m["module_type"].isin(known)),
-        "several end notes": F.size(F.filter(modules(html), lambda m: m["module_type"] == "end_notes")) > 1,
+        "several end notes": F.size(F.filter(modules(F.regexp_replace(html, AROUND_CHAPTERS, "")),
+                                             lambda m: m["module_type"] == "end_notes")) > 1,
+        "several root threads": F.size(threads) > 1,
+        "several parent links": F.exists(comments, lambda c: F.regexp_count(c, F.lit(r"(?i)>\s*Parent Thread\s*</a")) > 1),
+        "nested quotes": F.exists(H.inner_all(html, "blockquote"), lambda q: q.rlike(r"(?i)<blockquote\b")),
         "bad word count": stat(html, "words").rlike(r"[^\d,]"),
         "no chapters fraction": parse_fraction(stat(html, "chapters"))["present"].isNull(),
     }
-

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelmill.functions import html as H
-from labelmill.functions.scalars import first_match, parse_clock, parse_count, parse_day, parse_fraction
+from labelmill.functions.scalars import (
+    first_match, parse_clock, parse_count, parse_day, parse_fraction, reference_part, work_url)
 from labelmill.operators import pages as P
 from labelmill.plans import standins as S
 from labelmill.plans.text import html_text_sql
@@ -66,51 +67,24 @@ def page_counters(spark, sf):
         F.size(H.links(html)).alias("links"), P.page_count(html).alias("comment_pages"))
 
 
-def _record(spark, sf):
-    html = F.col("html")
-    return S.pages(spark, sf).select(
-        "page_id", "url", H.attribute(html, "html", "lang").alias("language"),
-        H.to_text(H.inner(html, "h1")).alias("title"), H.links(html).alias("tags"),
-        F.size(P.ARTICLE_LAYOUT.chapters(html)).alias("number_of_chapters"),
-        F.date_add(F.to_date(F.lit("2024-01-01")), F.col("page_id").cast("int")).alias("published_at"))
-
-
-def page_record_json(spark, sf):
-    """Records written as JSON and read back with a schema."""
-    record = _record(spark, sf)
-    schema = record.drop("page_id").schema
-    fields = P.record_json(record, "page_id").select("page_id", F.from_json("record", schema).alias("r"))
-    return fields.select(
-        "page_id", "r.url", "r.language", "r.title", "r.number_of_chapters",
-        F.size("r.tags").alias("number_of_tags"), F.col("r.tags")[0]["name"].alias("first_tag"),
-        F.date_format("r.published_at", "yyyy-MM-dd").alias("published_at"))
-
-
-def page_quality_report(spark, sf):
-    html = F.col("html")
-
-    def times(pattern):
-        return F.regexp_count(html, F.lit(pattern))
-
-    return P.quality_report(S.pages(spark, sf), {
-        "body not closed": ~html.rlike(P.ARTICLE_LAYOUT.body),
-        "no title": H.inner(html, "title").isNull(),
-        "several languages": times(r"(?i)<html\b[^>]*\blang=") > 1,
-        "several footers": times(r"(?i)<footer\b") > 1,
-        "paragraph not closed": times(r"(?i)<p\b") != times(r"(?i)</p\s*>"),
-        "link without path": H.has(html, "a", href=""),
-        "unknown section": html.rlike(r"""(?i)<div\b(?![^>]*class="ad")"""),
-    })
-
-
 def url_parts(spark, sf):
+    """Parts of page addresses, and references built from them and read back by their patterns."""
     url = F.col("url")
-    return read_table(spark, sf, "pages").select(
-        "page_id", first_match(url, r"^(https?)://").alias("scheme"),
-        first_match(url, r"^https?://([^/?#]+)").alias("host"),
-        first_match(url, r"^https?://[^/]+/([a-z]{2})/").alias("lang"),
-        first_match(url, r"^https?://[^/]+/[a-z]{2}/(\d+)").try_cast("bigint").alias("id"),
-        url.contains("?").alias("has_query"))
+    site = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
+    parts = read_table(spark, sf, "pages").select(
+        "page_id", site.alias("site"), first_match(url, r"^https?://[^/]+/([a-z]{2})/").alias("lang"),
+        first_match(url, r"^https?://[^/]+/[a-z]{2}/(\d+)").try_cast("bigint").alias("id"))
+    number = F.col("id").cast("string")
+    work = F.concat("site", work_url(F.col("id"), ""))
+    return parts.select(
+        "page_id", "lang", "id", reference_part(work, "work_id").alias("work"),
+        reference_part(F.concat(work, F.lit("&page=3")), "comment_page").alias("comment_page"),
+        reference_part(F.concat(F.lit("/works/1/chapters/"), number), "chapter_id").alias("chapter"),
+        reference_part(F.concat("site", F.lit("/series/"), number), "series_id").alias("series"),
+        reference_part(F.concat(F.lit("/comments/"), number, F.lit("?x=1")), "comment_id").alias("comment"),
+        reference_part(F.concat(F.lit("/users/"), "lang", F.lit("/pseuds/x")), "user").alias("user"),
+        reference_part(F.concat(F.lit("/users/"), "lang", F.lit("/gifts")), "gift_user").alias("gift_user"),
+        reference_part(work, "series_id").alias("none"))
 
 
 def parse_fractions(spark, sf):
@@ -144,7 +118,7 @@ def parse_dates(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     page_status, page_meta, page_links, page_links_by_group, page_links_distinct, page_sections,
-    page_chapters, page_text, page_counters, page_record_json, page_quality_report, url_parts, parse_dates)}
+    page_chapters, page_text, page_counters, url_parts, parse_dates)}
 QUERIES["parse_fraction"] = parse_fractions
 
 _LINK = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>"""
@@ -195,32 +169,11 @@ ORACLES = {
         CAST(len(regexp_extract_all(html, '(?s)<a [^>]*href="[^"]*"[^>]*>.*?</a>')) AS INT) AS links,
         coalesce(try_cast(regexp_extract_all(html, '>\s*(\d+)\s*</a\s*>', 1)[-1] AS INT), 1) AS comment_pages
         FROM pages""",
-    "page_record_json": f"""WITH {_LINKS}, tags AS (
-            SELECT page_id, count(*) AS n, arg_min(name, position) AS first_tag FROM links GROUP BY 1)
-        SELECT page_id, url, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language,
-            {html_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS title,
-            CAST(len(regexp_extract_all(html, '{_PARAGRAPH}', 1)) AS INT) AS number_of_chapters,
-            CAST(coalesce(n, 0) AS INT) AS number_of_tags, first_tag,
-            strftime(DATE '2024-01-01' + CAST(page_id AS INT), '%Y-%m-%d') AS published_at
-        FROM pages LEFT JOIN tags USING (page_id)""",
-    "page_quality_report": r"""WITH n AS (SELECT
-            count(*) FILTER (NOT regexp_matches(html, '(?is)<body\b.*</body\s*>')) AS a,
-            count(*) FILTER (NOT regexp_matches(html, '(?is)<title\b[^>]*>.*?</title\s*>')) AS b,
-            count(*) FILTER (len(regexp_extract_all(html, '(?i)<html\b[^>]*\blang=')) > 1) AS c,
-            count(*) FILTER (len(regexp_extract_all(html, '(?i)<footer\b')) > 1) AS d,
-            count(*) FILTER (len(regexp_extract_all(html, '(?i)<p\b')) <> len(regexp_extract_all(html, '(?i)</p\s*>'))) AS e,
-            count(*) FILTER (contains(html, 'href=""')) AS f,
-            count(*) FILTER (len(regexp_extract_all(html, '<div\b')) <> len(regexp_extract_all(html, '<div\b[^>]*class="ad"'))) AS g
-            FROM pages)
-        SELECT 'body not closed' AS rule, a AS violations FROM n UNION ALL SELECT 'no title', b FROM n
-        UNION ALL SELECT 'several languages', c FROM n UNION ALL SELECT 'several footers', d FROM n
-        UNION ALL SELECT 'paragraph not closed', e FROM n UNION ALL SELECT 'link without path', f FROM n
-        UNION ALL SELECT 'unknown section', g FROM n""",
-    "url_parts": r"""SELECT page_id, nullif(regexp_extract(url, '^(https?)://', 1), '') AS scheme,
-        nullif(regexp_extract(url, '^https?://([^/?#]+)', 1), '') AS host,
-        nullif(regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1), '') AS lang,
-        try_cast(nullif(regexp_extract(url, '^https?://[^/]+/[a-z]{2}/(\d+)', 1), '') AS BIGINT) AS id,
-        contains(url, '?') AS has_query FROM pages""",
+    "url_parts": r"""WITH p AS (SELECT page_id, nullif(regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1), '') AS lang,
+            try_cast(nullif(regexp_extract(url, '^https?://[^/]+/[a-z]{2}/(\d+)', 1), '') AS BIGINT) AS id FROM pages)
+        SELECT page_id, lang, id, id::VARCHAR AS work, CASE WHEN id IS NOT NULL THEN '3' END AS comment_page,
+            id::VARCHAR AS chapter, id::VARCHAR AS series, id::VARCHAR AS comment, lang AS "user", lang AS gift_user,
+            NULL::VARCHAR AS "none" FROM p""",
     "parse_fraction": """SELECT value, CAST(n AS INT) AS present,
         CASE WHEN q > 40 THEN NULL ELSE q END AS planned, count(*) AS rows
         FROM (SELECT l_linenumber AS n, CAST(trunc(l_quantity) AS INT) AS q,

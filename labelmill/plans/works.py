@@ -65,6 +65,56 @@ def _work_pages(spark, sf):
         F.col("doc_id").cast("string").alias("work_id"), F.when(F.col("doc_id") % 11 == 0, private).otherwise(readable).alias("html"))
 
 
+def _rich_pages(spark, sf):
+    """Documents as work pages with tags, statistics, notes with associations, and two comments."""
+    number = F.col("doc_id").cast("string")
+    meta = F.concat(
+        F.lit("<dl class=\"work meta group\"><dd class=\"fandom tags\"><ul><li><a href=\"/tags/"), F.col("source"),
+        F.lit("/works\">"), F.col("source"), F.lit("</a></li></ul></dd>"),
+        F.when(F.col("doc_id") % 7 == 0, "<dd class=\"odd tags\"><a href=\"/tags/x/works\">x</a></dd>").otherwise(""),
+        F.lit("<dd class=\"language\">"), F.coalesce("lang", F.lit("none")),
+        F.lit("</dd><dl class=\"stats\"><dd class=\"published\">2020-03-05</dd><dd class=\"words\">"),
+        F.format_number("n_chars", 0), F.lit("</dd><dd class=\"chapters\">1/?</dd><dd class=\"kudos\">"), number,
+        F.lit("</dd></dl></dl>"))
+    notes = F.concat(
+        F.lit("<div class=\"notes module\"><h3 class=\"heading\">Notes:</h3><ul class=\"associations\"><li>"),
+        F.when(F.col("doc_id") % 2 == 0, "For <a href=\"/users/u/gifts\">u</a>.").otherwise(
+            "Inspired by <a href=\"/works/1\">W</a> by <a href=\"/users/v\">v</a>. "),
+        F.lit("</li></ul><blockquote class=\"userstuff\"><p>note</p></blockquote><p class=\"jump\">(See the end)</p></div>"))
+    comments = F.concat(
+        F.lit("<div id=\"comments_placeholder\"><ol class=\"thread\"><li class=\"comment group\" id=\"comment_"), number,
+        F.lit("1\"><h4 class=\"heading byline\"><a href=\"/users/a\">a</a> on Chapter 1</h4><blockquote class=\"userstuff\">first"
+              "</blockquote></li><li><ol class=\"thread\"><li class=\"comment group\" id=\"comment_"), number,
+        F.lit("2\"><h4 class=\"heading byline\">guest</h4><blockquote class=\"userstuff\">second</blockquote></li></ol></li></ol>"),
+        F.when(F.col("doc_id") % 5 == 0, "<ol class=\"thread\"></ol>").otherwise(""), F.lit("</div>"))
+    page = F.concat(
+        F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div id=\"main\">"), meta,
+        F.lit("<div id=\"workskin\"><h2 class=\"title heading\">"), F.col("source"),
+        F.lit("</h2><h3 class=\"byline heading\"><a href=\"/users/w\">w</a></h3>"), notes,
+        F.lit("<div id=\"chapters\"><div class=\"userstuff\">"), F.col("text"), F.lit("</div></div></div><p class=\"kudos\">"
+              "<a href=\"/users/k\">k</a> and 1,200 guests left kudos on this work!</p>"), comments, F.lit("</div></div></body></html>"))
+    return S.documents(spark, sf).select(F.col("doc_id").cast("string").alias("work_id"), page.alias("html"))
+
+
+def page_record_json(spark, sf):
+    """Whole page records, comments included, written as JSON and read back with a schema."""
+    record = P.full_record(_rich_pages(spark, sf))
+    schema = record.drop("work_id").schema
+    fields = P.record_json(record, "work_id").select("work_id", F.from_json("record", schema).alias("r"))
+    return fields.select(
+        "work_id", "r.status", "r.language", "r.title", F.col("r.tags")["fandom"][0]["path"].alias("fandom"),
+        "r.number_of_words", "r.number_of_chapters", "r.number_of_chapters_planned", "r.number_of_kudos",
+        F.date_format("r.published_at", "yyyy-MM-dd").alias("published_at"), F.col("r.authors")[0]["name"].alias("author"),
+        F.col("r.notes.jumps")[0].alias("jump"), P.association_types(F.col("r.notes.associations"))[0].alias("association"),
+        F.col("r.kudos_from.guests").alias("guests"), F.size("r.comments").alias("comments"),
+        F.col("r.comments")[1]["parent_comment"].alias("parent"), F.col("r.comments")[1]["author"]["name"].alias("guest"),
+        F.md5(H.to_text(F.col("r.chapters")[0]["content"])).alias("md5"))
+
+
+def page_quality_report(spark, sf):
+    return P.quality_report(_rich_pages(spark, sf), P.work_rules())
+
+
 def work_page_hydration(spark, sf):
     """Status, chapters and summary of every document's page."""
     works = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_id"))
@@ -124,7 +174,8 @@ def comment_tree(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_round_trip, work_page_hydration, work_page_record, comment_rows, comment_tree)}
+    html_round_trip, page_record_json, page_quality_report, work_page_hydration, work_page_record, comment_rows,
+    comment_tree)}
 
 _LINE = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _LINES = """lines AS (SELECT doc_id, i, l[i] AS line, len(l) AS n FROM (
@@ -134,6 +185,17 @@ _ALL = _LINE.format("text || ' in ' || doc_id || ' behind ' || '" + TAIL_TEXT.re
 
 ORACLES = {
     "html_round_trip": f"SELECT doc_id, md5({_ALL}) AS text_md5, md5({_QUOTE}) AS quote_md5 FROM documents",
+    "page_record_json": f"""SELECT doc_id::VARCHAR AS work_id, 'ok' AS status, coalesce(lang, 'none') AS language, source AS title,
+            '/tags/' || source || '/works' AS fandom, CAST(n_chars AS INT) AS number_of_words, 1 AS number_of_chapters,
+            NULL::INT AS number_of_chapters_planned, CAST(doc_id AS INT) AS number_of_kudos, '2020-03-05' AS published_at,
+            'w' AS author, '<p class="jump">(See the end)</p>' AS jump,
+            CASE WHEN doc_id % 2 = 0 THEN 'gift_for' ELSE 'inspired_by' END AS association, 1200 AS guests, 2 AS comments,
+            doc_id || '1' AS parent, 'guest' AS guest, md5({_LINE.format("text")}) AS md5 FROM documents""",
+    "page_quality_report": """WITH n AS (SELECT count(*) FILTER (doc_id % 7 = 0) AS tags, count(*) FILTER (doc_id % 5 = 0) AS roots
+            FROM documents)
+        SELECT 'unknown tag type' AS rule, tags AS violations FROM n UNION ALL SELECT 'several root threads', roots FROM n
+        UNION ALL SELECT r, 0 FROM (VALUES ('unknown statistic'), ('several languages'), ('unknown module'), ('several end notes'),
+            ('several parent links'), ('nested quotes'), ('bad word count'), ('no chapters fraction')) v(r)""",
     "work_page_hydration": f"""WITH {_LINES}, texts AS (
             SELECT doc_id, CAST(count(*) AS INT) AS chapters,
                    md5(string_agg({_LINE.format("line || ' mid end'")}, '|' ORDER BY i)) AS text_md5 FROM lines GROUP BY 1)
