@@ -32,7 +32,7 @@ _PIECE = pa.schema([(c.split()[0], pa.int64()) for c in PIECE.split(", ")])
 _OPEN = _PIECE.append(pa.field("open", pa.bool_()))
 
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 SEPARATOR, SEPARATOR_ID = "<|endoftext|>", 49407
 #: White space for Python, but signs for the tokenizer.
 _NO_SPACE = "\x1c\x1d\x1e\x1f"
@@ -63,37 +63,47 @@ class WordIds:
 
     def reset(self) -> None:
         self.codes = _Codes()
+        self.stems: dict[str, bytes] = {}
         self.flat = np.zeros(1 << 20, dtype=np.uint32)
         self.begin = np.zeros(1 << 16, dtype=np.int64)
         self.count = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
 
-    def _store(self, first: int, ids: list[np.ndarray]) -> None:
+    def _store(self, first: int, ids: list[bytes]) -> None:
         """Ids of the words numbered from `first` on."""
-        lengths = np.array([len(x) for x in ids], dtype=np.int64)
+        lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
         total, n = int(lengths.sum()), len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + n > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
             self.count = np.concatenate([self.count, np.zeros_like(self.count)])
-        if total:
-            self.flat[self.used:self.used + total] = np.concatenate(ids)
+        self.flat[self.used:self.used + total] = np.frombuffer(b"".join(ids), dtype=np.uint32)
         self.begin[first:first + n] = self.used + np.cumsum(lengths) - lengths
         self.count[first:first + n] = lengths
         self.used += total
 
+    def _tokenise(self, text: str) -> np.ndarray:
+        (encoding,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(encoding.ids, dtype=np.uint32)
+
     def _learn(self, first: int, words: list[str]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            plain = [w if "<|" not in w else "" for w in part]
-            ids = np.array(self.tokenizer.encode(SEPARATOR.join(plain), add_special_tokens=False).ids, dtype=np.uint32)
+        """Words that differ in ASCII case or in one comma or full stop behind a letter share their stem's ids."""
+        parts = []
+        for word in words:
+            tail = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
+            stem = word[:-1] if tail else word
+            parts.append((stem.lower() if stem.isascii() else stem, tail))
+        new = list(dict.fromkeys(stem for stem, _ in parts if stem not in self.stems))
+        for at in range(0, len(new), 20_000):
+            some = new[at:at + 20_000]
+            ids = self._tokenise(SEPARATOR.join(w if "<|" not in w else "" for w in some))
             edges = [-1, *np.flatnonzero(ids == SEPARATOR_ID).tolist(), len(ids)]
-            own = [ids[a + 1:b] for a, b in zip(edges[:-1], edges[1:])]
-            for i, w in enumerate(part):
-                if "<|" in w:
-                    own[i] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype=np.uint32)
-            self._store(first + at, own)
+            raw = ids.tobytes()
+            self.stems.update(zip(some, [raw[4 * a + 4:4 * b] for a, b in zip(edges[:-1], edges[1:])]))
+            self.stems.update((w, self._tokenise(w).tobytes()) for w in some if "<|" in w)
+        tails = {"": b"", **{c: self._tokenise(c).tobytes() for c in ".,"}}
+        self._store(first, [self.stems[stem] + tails[tail] for stem, tail in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > CACHE_WORDS:
