@@ -26,6 +26,6 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    own = {name for plan in (entry.scoring, entry.evaluation, entry.labeling, entry.text, entry.pages, entry.works, entry.features)
+    own = {name for plan in (entry.scoring, entry.evaluation, entry.labeling, entry.text, entry.pages, entry.works, entry.files, entry.features)
            for name in plan.QUERIES}
     assert own <= set(entry.oracle_sql())
