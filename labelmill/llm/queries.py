@@ -87,8 +87,42 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
+#: Blocks of the article, cut at its block tags, with the references that the given pages hold.
+ARTICLE_SQL = r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(
+      regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>'),
+      lambda b: trim(regexp_replace(replace(replace(regexp_replace(b, '<[^>]*>', ' ', 'g'), '&quot;', '"'), '&amp;', '&'),
+                                    '\s+', ' ', 'g'))) AS b
+  FROM pages
+), texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
+
+#: Shingles of items and documents joined by value; each item's share that a document holds.
+LEAK_SQL = r"""
+WITH item_words AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(lower(text), '[a-z0-9ªµº\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+') AS w
+  FROM benchmark
+), item_shingles AS (
+  SELECT DISTINCT item, item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT item, item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM (SELECT *, least(5, len(w)) AS k FROM item_words WHERE len(w) > 0))
+), sizes AS (SELECT item, count(*) AS n FROM item_shingles GROUP BY 1),
+doc_words AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(lower(text), '[a-z0-9ªµº\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+') AS w
+  FROM documents
+), doc_shingles AS (
+  SELECT doc, doc_id, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT doc, doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM doc_words CROSS JOIN (SELECT DISTINCT k FROM item_shingles))
+), shared AS (
+  SELECT doc, doc_id, item, item_id, count(DISTINCT s) AS m FROM doc_shingles JOIN item_shingles USING (k, s) GROUP BY ALL
+)
+SELECT doc_id, item_id, n AS item_shingles, m AS shared_shingles, m::DOUBLE / n::DOUBLE AS containment
+FROM shared JOIN sizes USING (item) WHERE m >= 0.8 * n - 1e-9"""
+
 QUERIES = {
     "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_wrappers": op4_wrappers,
     "op5_decontaminate": op5_decontaminate, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_secrets": op8_secrets,
     "op9_suffix": op9_suffix, "op10_packing": op10_packing}
-ORACLES = {"op3_chat": chat.ORACLE, "op7_topk": TOPK_SQL}
+ORACLES = {"op3_chat": chat.ORACLE, "op4_wrappers": ARTICLE_SQL, "op5_decontaminate": LEAK_SQL, "op7_topk": TOPK_SQL}
