@@ -4,7 +4,8 @@ Every partition tokenises its documents and keeps a fixed number of open windows
 where it is longer than a window; whole windows close at once, and its last piece goes to the open window
 that it fills best. When none has room, the fullest is emitted and a new one opened. Windows still open at
 the end of a partition are merged: their pieces are dealt to a sixteenth of the partitions and packed the
-same way, largest first, until one partition is left. Pieces, not token ids, move between the rounds, so a
+same way until one partition is left, in an order that mixes lengths: the largest first would hold all windows
+half full until they have to be emitted. Pieces, not token ids, move between the rounds, so a
 round shuffles a few numbers for each open window.
 
 Defined results: a null text counts as empty and gives the end id alone; repeated rows are packed once
@@ -235,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, spaces: int = 6
     while parts > 1:
         parts, level = -(-parts // fan_in), level + 1
         dealt = left.drop("open").repartition(parts, F.xxhash64("sequence_id"))
-        dealt = dealt.sortWithinPartitions(F.col("length").desc(), "doc_id", "start", "ids_crc32")
+        dealt = dealt.sortWithinPartitions(F.xxhash64("doc_id", "start", "ids_crc32"), "sequence_id", "offset")
         again = durable(dealt.mapInArrow(_merge(size, spaces, level), schema))
         done, left = done.unionByName(again.filter("not open")), again.filter("open")
     return done.unionByName(left).drop("open")
