@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Callable
 from html.entities import html5
 
@@ -40,16 +41,22 @@ def _literal_map(values: dict, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(values)), kind)
 
 
+#: Named references lie in this many short strings, by a checksum of their name.
+DRAWERS = 128
+
+
 def _named(name: Column) -> Column:
     """Characters of a named reference; null for an unknown name.
 
-    The table is one string constant, because plans with a map of this size in every field are slow to
-    optimise; only references search it.
+    A map constant of this size in every field would slow the optimiser, and is searched from end to end.
     """
-    table = F.lit("".join(f"\x01{n}\x02{characters}" for n, characters in sorted(NAMES.items())) + "\x01")
-    key = F.concat(F.lit("\x01"), name, F.lit("\x02"))
-    at = F.position(key, table)
-    return F.when(at > 0, F.substring_index(F.substring(table, at + F.length(key), F.lit(3)), "\x01", 1))
+    drawers = [""] * DRAWERS
+    for known, characters in sorted(NAMES.items()):
+        drawers[zlib.crc32(known.encode()) % DRAWERS] += f"\x01{known}\x02{characters}"
+    drawer = F.element_at(F.array(*[F.lit(d + "\x01") for d in drawers]),
+                          (F.crc32(name.cast("binary")) % DRAWERS + 1).cast("int"))
+    behind = F.call_function("substring_index", drawer, F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(-1))
+    return F.when(F.length(behind) < F.length(drawer), F.substring_index(behind, "\x01", 1))
 
 
 def _code_point(digits: Column, base: int) -> Column:
