@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from labelmill.functions import html as H
 from labelmill.operators import hydrate, threads
 from labelmill.operators import pages as P
-from labelmill.plans import standins as S
+from labelmill.session import spread
 from labelmill.sources.readers import read_table
 
 # References of several kinds: names, names without a semicolon, numbers, and text that only looks like one.
@@ -26,6 +26,13 @@ TAIL_TEXT = " ".join(html_names.unescape(TAIL).split())
 WRITTEN = {"é": "&eacute;", "ü": "&#252;", "ñ": "&#xF1;", "è": "&egrave;", "ß": "&szlig;"}
 
 
+def _pages(spark, sf, key, html, wanted=None):
+    """Pages put together from documents, and only then evened out, as if they had been read."""
+    docs = read_table(spark, sf, "documents")
+    docs = docs if wanted is None else docs.filter(wanted)
+    return spread(docs.select(key, html.alias("html")))
+
+
 def _written(text):
     for letter, reference in WRITTEN.items():
         text = F.replace(text, F.lit(letter), F.lit(reference))
@@ -37,7 +44,7 @@ def html_round_trip(spark, sf):
     body = F.concat(
         F.lit("<div><blockquote class='userstuff'><p>"), _written(F.col("text")), F.lit("</p><blockquote>in "),
         F.col("doc_id").cast("string"), F.lit("</blockquote> behind</blockquote><p>"), F.lit(TAIL), F.lit("</p></div>"))
-    pages = S.documents(spark, sf).select("doc_id", body.alias("html"))
+    pages = _pages(spark, sf, F.col("doc_id"), body)
     return pages.select(
         "doc_id", F.md5(H.to_text(F.col("html"))).alias("text_md5"),
         F.md5(H.to_text(H.inner(F.col("html"), "blockquote", cls="userstuff"))).alias("quote_md5"))
@@ -61,8 +68,8 @@ def _work_pages(spark, sf):
               "</div></body></html>"))
     private = F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div id=\"main\"><p>x</p><div id=\"signin\">Log in</div>"
                     "</div></div></body></html>")
-    return S.documents(spark, sf).filter(F.col("doc_id") % 13 != 0).select(
-        F.col("doc_id").cast("string").alias("work_id"), F.when(F.col("doc_id") % 11 == 0, private).otherwise(readable).alias("html"))
+    return _pages(spark, sf, F.col("doc_id").cast("string").alias("work_id"),
+                  F.when(F.col("doc_id") % 11 == 0, private).otherwise(readable), F.col("doc_id") % 13 != 0)
 
 
 def _rich_pages(spark, sf):
@@ -93,7 +100,7 @@ def _rich_pages(spark, sf):
         F.lit("</h2><h3 class=\"byline heading\"><a href=\"/users/w\">w</a></h3>"), notes,
         F.lit("<div id=\"chapters\"><div class=\"userstuff\">"), F.col("text"), F.lit("</div></div></div><p class=\"kudos\">"
               "<a href=\"/users/k\">k</a> and 1,200 guests left kudos on this work!</p>"), comments, F.lit("</div></div></body></html>"))
-    return S.documents(spark, sf).select(F.col("doc_id").cast("string").alias("work_id"), page.alias("html"))
+    return _pages(spark, sf, F.col("doc_id").cast("string").alias("work_id"), page)
 
 
 def page_record_json(spark, sf):
@@ -146,7 +153,7 @@ def _thread_pages(spark, sf):
         return F.when(i % 2 == 1, F.concat(F.lit("<li><ol class=\"thread\">"), own, F.lit("</ol></li>"))).otherwise(own)
 
     body = F.concat(F.lit("<ol class=\"thread\">"), F.array_join(F.transform(lines, comment), ""), F.lit("</ol>"))
-    return S.documents(spark, sf).select("doc_id", body.alias("html"))
+    return _pages(spark, sf, F.col("doc_id"), body)
 
 
 def comment_rows(spark, sf):
