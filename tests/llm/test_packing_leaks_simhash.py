@@ -173,3 +173,20 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+@pytest.mark.parametrize("limit", [40, 200, 3000])
+def test_long_texts_are_searched_whole(monkeypatch, limit):
+    """Texts cut into parts give what whole texts give, also for items that lie across cuts."""
+    monkeypatch.setattr(decontaminate.common, "BLOCK_BYTES", limit)
+    rng = np.random.default_rng(limit)
+    vocabulary = ["über", "the", "x1", "naïve", "—", "y", "«z»", "日本", "and"] + [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary, n))) for i, n in enumerate((3, 6, 9, 25, 60))]
+    texts = [None, "", "   "]
+    for _ in range(25):
+        parts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(4)]
+        parts[rng.integers(4)] += " " + items[rng.integers(5)][1].upper()
+        texts.append(rng.choice([" ", "\n", ", "]).join(parts))
+    index = decontaminate.Index(items, 0.8)
+    got = {(row, index.items[item][0], shared) for row, item, shared in decontaminate._hits(index, texts, 0.8)}
+    assert got == brute_hits(list(enumerate(texts)), items)
