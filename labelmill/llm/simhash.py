@@ -285,7 +285,11 @@ def keep_one(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
     Rows without an id come after the others. Of rows that are equal in id and text one stays.
     """
-    found = near_duplicates(docs, shard_rows)
+    return first_rows(docs, near_duplicates(docs, shard_rows))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of `docs` of each root in `found` (doc_id, text_hash, root), all columns."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     chosen = found.groupBy("root").agg(first).select(
         F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
