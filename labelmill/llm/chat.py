@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "[TURN", "[/TURN]")
 TURN = r"(?s)\[INST\] (.*?) \[/INST\]|<s>(.*?)</s>|\[TURN (.*?)\] (.*?) \[/TURN\]"
 
+#: The closing sign of a role is the first bracket that no backslash precedes. Possessive, so that matching takes no
+#: stack however long the role is.
+OTHER_TURN = r"(?s)^\[TURN ([^\]\\]*+(?:\\.[^\]\\]*+)*+)\] (.*) \[/TURN\]$"
+
 
 def escape(text: Column, role: bool = False) -> Column:
     """A role also has its closing bracket escaped, which ends it in the template."""
@@ -85,12 +89,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("longest", F.lit(TURN), F.lit(0))
 
     def turn(s: Column) -> Column:
-        # The closing sign of a role is the first bracket that no backslash precedes.
-        other = F.regexp_extract(s, r"(?s)^\[TURN ((?:[^\]\\]|\\.)*)\] (.*) \[/TURN\]$", 1)
+        other = F.regexp_extract(s, OTHER_TURN, 1)
         role = F.when(s.startswith("<s>"), "assistant").when(s.startswith("[INST]"), "user").otherwise(unescape(other))
         body = F.when(s.startswith("<s>"), F.substring(s, F.lit(4), F.length(s) - 7)).when(
             s.startswith("[INST]"), F.substring(s, F.lit(8), F.length(s) - 15)).otherwise(
-            F.regexp_extract(s, r"(?s)^\[TURN (?:[^\]\\]|\\.)*\] (.*) \[/TURN\]$", 1))
+            F.regexp_extract(s, OTHER_TURN, 2))
         return F.concat(role, F.lit("\n"), unescape(body), F.lit("\n"))
 
     loss = F.array_join(F.transform("targets", lambda t: t.target), "")

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from labelmill.session import small_table
+
 from . import common
 
 WINDOW = 64
@@ -32,7 +34,6 @@ HIDDEN = 8
 #: Bounds of the sample that the network is fitted on.
 ROWS_PER_LANGUAGE = 400
 WINDOWS_PER_ROW = 8
-LANGUAGES = 400
 EPOCHS = 6
 #: Windows that run side by side.
 SIDE_BY_SIDE = 2048
@@ -42,7 +43,6 @@ PREDICTION = "doc_id long, lang_pred string, score double"
 _PREDICTION = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-
 class Network:
     """Weights of both directions: input tables (3H x 257), recurrent matrices (3H x H), output (C x 2H).
 
@@ -193,12 +193,12 @@ def training_windows(docs: DataFrame) -> DataFrame:
     """(lang, window) of the sample: the rows with the smallest hash of each language, windows evenly spread."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     keyed = known.select("lang", F.xxhash64("doc_id", F.lit(11)).alias("h"), F.col("text").cast("binary").alias("body"))
-    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    # A hash bound that passes about three times the rows wanted keeps texts from being ranked in full.
-    bound = F.lit(None).cast("double")
-    for row in counts:
-        bound = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, 3.0 * ROWS_PER_LANGUAGE / row["count"]))).otherwise(bound)
-    low = keyed.filter(F.pmod("h", F.lit(1 << 40)) < bound * float(1 << 40))
+    # A hash bound that passes about three times the rows wanted keeps texts from being ranked in full. One row per
+    # language, of which the fit holds up to ROWS_PER_LANGUAGE texts' windows anyway.
+    counts = known.groupBy("lang").count().collect()
+    bounds = small_table(docs.sparkSession, [(r["lang"], min(1.0, 3.0 * ROWS_PER_LANGUAGE / r["count"])) for r in counts],
+                         "lang string, bound double")
+    low = keyed.join(F.broadcast(bounds), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.col("bound") * float(1 << 40))
     size = F.octet_length("body")
     step = F.greatest(F.lit(1), F.floor(size / (WINDOW * WINDOWS_PER_ROW))) * WINDOW
     cut = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_ROW - 1)), lambda i: i * step)
@@ -248,12 +248,16 @@ def predict(docs: DataFrame, languages: list[str], network: Network | None) -> D
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTION)
 
 
-def with_language(docs: DataFrame, languages: list[str], network: Network | None, least: float = 0.3) -> DataFrame:
+def with_language(docs: DataFrame, languages: list[str], network: Network | None, least: float | None = None) -> DataFrame:
     """The rows of `docs`, all columns, that are in a learned language with at least the score `least`.
 
-    The bound only takes out what no language fits better than chance: a text of one or two words is often
-    told with a score of 0.4 to 0.5, and stays.
+    Without `least` the bound lies a fifteenth of the way from chance (one over the number of learned languages) to
+    certainty: it only takes out what no language fits better than chance. A text of one or two words is often told
+    with a score of 0.4 to 0.5 among four languages, and stays.
     """
+    if least is None:
+        chance = 1.0 / max(1, len(languages))
+        least = chance + (1.0 - chance) / 15 - 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.single_threaded()

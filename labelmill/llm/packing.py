@@ -89,10 +89,14 @@ class WordIds:
         return np.array(encoding.ids, dtype=np.uint32)
 
     def _learn(self, first: int, words: list[str]) -> None:
-        """Words that differ in ASCII case or in one comma or full stop behind a letter share their stem's ids."""
+        """Words that differ in ASCII case or in one comma or full stop behind an ASCII letter share their stem's ids.
+
+        Behind other letters the sign stays: the tokenizer may take such a letter apart, and what then stands before
+        the sign can be a mark, which changes the ids.
+        """
         parts = []
         for word in words:
-            tail = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() else ""
+            tail = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2].isascii() else ""
             stem = word[:-1] if tail else word
             parts.append((stem.lower() if stem.isascii() else stem, tail))
         new = list(dict.fromkeys(stem for stem, _ in parts if stem not in self.stems))

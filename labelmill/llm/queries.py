@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, licenses, packing, secrets, simhash, suffix, topk, wrappers
+from . import chat, common, decontaminate, langid, licenses, lines, packing, secrets, simhash, suffix, topk, wrappers
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -73,6 +73,11 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.drop_repeats(_table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 #: Scores of all pairs of a query and a candidate, and of each query the five highest.
 TOPK_SQL = """
 WITH v AS (
@@ -121,8 +126,26 @@ doc_words AS (
 SELECT doc_id, item_id, n AS item_shingles, m AS shared_shingles, m::DOUBLE / n::DOUBLE AS containment
 FROM shared JOIN sizes USING (item) WHERE m >= 0.8 * n - 1e-9"""
 
+#: Lines with their keys; a line goes where its key's smallest document is another one.
+LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+  FROM documents
+), keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), repeats AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (SELECT k.*, coalesce(r.first <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN repeats r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
 QUERIES = {
     "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_wrappers": op4_wrappers,
     "op5_decontaminate": op5_decontaminate, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_secrets": op8_secrets,
-    "op9_suffix": op9_suffix, "op10_packing": op10_packing}
-ORACLES = {"op3_chat": chat.ORACLE, "op4_wrappers": ARTICLE_SQL, "op5_decontaminate": LEAK_SQL, "op7_topk": TOPK_SQL}
+    "op9_suffix": op9_suffix, "op10_packing": op10_packing,
+    "op11_lines": op11_lines}
+ORACLES = {"op3_chat": chat.ORACLE, "op4_wrappers": ARTICLE_SQL, "op5_decontaminate": LEAK_SQL, "op7_topk": TOPK_SQL, "op11_lines": LINES_SQL}

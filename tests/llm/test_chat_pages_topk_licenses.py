@@ -46,6 +46,13 @@ def test_chat_round_trip(spark):
     assert chat.read_back(chat.examples(turns.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("role", ["r" * 1_000_000, "\\" * 1_000_000, "]" * 300_000 + "x\\] y"])
+def test_chat_reads_long_roles(spark, role):
+    turns = spark.createDataFrame([(1, 0, role, "hello"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    (got,) = chat.read_back(chat.examples(turns)).collect()
+    assert got.turns_sha256 == hashlib.sha256(f"{role}\nhello\nassistant\nyes\n".encode()).hexdigest()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><script>var a="<p>no</p>"</script></head><body>
 <header><h1>Site</h1></header><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use cookies</div><!-- <p>no</p> -->
 <article><h1>{title}</h1>{body}<form><p>Sign up</p></form><div class="ad">Buy</div><section id="comments"><p>First!</p></section></article>

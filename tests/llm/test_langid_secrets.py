@@ -103,3 +103,15 @@ def test_secret_edge_rows(spark):
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert texts[1] is None and texts[4] == "[SECRET]'" and "longenough12" not in texts[6]
     assert secrets.scan(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
+
+
+def test_bound_follows_the_number_of_languages(spark):
+    """What no language fits better than chance goes, with two languages too; rare languages are learned."""
+    docs = spark.createDataFrame([(1, "abc"), (2, "xyz")], "doc_id long, text string")
+    even = langid.Network(2)
+    even.weights = {k: np.zeros_like(w) for k, w in even.weights.items()}
+    assert langid.with_language(docs, ["a", "b"], even).count() == 0
+    assert langid.with_language(docs, ["a"], langid.Network(1)).count() == 2
+    rows = [(i, f"word{i}", f"l{i % 450:03d}") for i in range(900)]
+    languages = {r.lang for r in langid.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(languages) == 450

@@ -190,3 +190,22 @@ def test_long_texts_are_searched_whole(monkeypatch, limit):
     index = decontaminate.Index(items, 0.8)
     got = {(row, index.items[item][0], shared) for row, item, shared in decontaminate._hits(index, texts, 0.8)}
     assert got == brute_hits(list(enumerate(texts)), items)
+
+
+def test_every_letter_before_a_sign_has_the_tokenizer_s_ids():
+    """A letter may be taken apart by the tokenizer, so the sign behind it must not be cut off."""
+    import sys
+
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha()]
+    letters = [c for c in letters if not "一" <= c <= "鿿" and not "가" <= c <= "힣" and c < "\U00020000"]
+    words = [w for c in letters for w in (f"{c}.", f"a{c},", f"{c}b.", f"A{c}B,")]
+    for at in range(0, len(words), 5000):
+        texts = [" ".join(words[i:i + 50]) for i in range(at, min(at + 5000, len(words)), 50)]
+        want = tokenizer.encode_batch(texts, add_special_tokens=False)
+        for text, ids, e in zip(texts, packing.word_ids(path).encode(texts), want):
+            assert ids.tolist() == e.ids, text
+    assert packing.word_ids(path).encode(["Ali İ. Yılmaz dedi."])[0].tolist() == tokens(tokenizer, "Ali İ. Yılmaz dedi.")[:-1]
