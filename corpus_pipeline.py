@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelmill.llm import common, copies, decontaminate, langid, packing, secrets
+from labelmill.llm import common, decontaminate, langid, packing, secrets, simhash
 from labelmill.llm.queries import tokenizer_path
 from labelmill.session import ensure_checkpoint_dir
 
@@ -24,9 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word Jaccard similarity of 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group that SimHash links (three-word shingles, two bits): the one with the smallest doc_id."""
     common.small_batches(spark)
-    return copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
