@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, langid, licenses, lines, packing, secrets, simhash, suffix, topk, wrappers
+from labelmill.session import durable
+
+from . import chat, common, decontaminate, langid, licenses, lines, packing, secrets, simhash, suffix, topk, vectorcodes, whiten, wrappers
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -78,6 +82,20 @@ def op11_lines(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op12_whiten(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten.whiten(_table(spark, folder, "embeddings"))
+
+
+def op13_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = vectorcodes.compress(_table(spark, folder, "embeddings"))
+    coded = durable(coded)
+    digest = hashlib.sha256(",".join(str(v) for book in books for v in book.ravel().tolist()).encode()).hexdigest()
+    by_label = coded.groupBy(F.col("label").alias("_label")).agg(F.sum("error").alias("label_error"))
+    code = F.array_join(F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    return coded.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).select(
+        "vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 #: Scores of all pairs of a query and a candidate, and of each query the five highest.
 TOPK_SQL = """
 WITH v AS (
@@ -143,9 +161,46 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd rounds as one common table expression each: nearest entry of every part, then floors of means."""
+    steps = [f"""
+WITH whole AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * CAST(x AS DOUBLE))) AS v,
+    row_number() OVER (ORDER BY vec_id) AS k
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), part AS MATERIALIZED (
+  SELECT vec_id, label, k, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS x
+  FROM whole, range({parts}) AS parts(p)
+), book0 AS MATERIALIZED (SELECT p, k - 1 AS entry, x AS c FROM part WHERE k <= {entries})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""near{i} AS MATERIALIZED (
+  SELECT k, p, arg_min(entry, struct_pack(d := d, e := entry)) AS entry, min(d) AS d
+  FROM (SELECT k, p, entry, CAST(list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS BIGINT) AS d
+        FROM part JOIN book{i} USING (p)) GROUP BY k, p)""")
+        if i < rounds:
+            steps.append(f"""book{i + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(m.c, b.c) AS c FROM book{i} b LEFT JOIN (
+    SELECT p, entry, list(CAST(floor(s / n) AS DOUBLE) ORDER BY i) AS c FROM (
+      SELECT p, entry, i, count(*) AS n, sum(y) AS s
+      FROM (SELECT p, entry, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM part JOIN near{i} USING (k, p))
+      GROUP BY p, entry, i) GROUP BY p, entry) m USING (p, entry))""")
+    steps.append(f"""coded AS (
+  SELECT k, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY k
+), numbers AS (
+  SELECT p, entry, unnest(c) AS y, generate_subscripts(c, 1) AS i FROM book{rounds}
+), digest AS (SELECT sha256(string_agg(CAST(CAST(y AS BIGINT) AS VARCHAR), ',' ORDER BY p, entry, i)) AS codebooks_sha256 FROM numbers)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM whole JOIN coded USING (k), digest""")
+    return ", ".join(steps)
+
+
 QUERIES = {
     "op1_langid": op1_langid, "op2_simhash": op2_simhash, "op3_chat": op3_chat, "op4_wrappers": op4_wrappers,
     "op5_decontaminate": op5_decontaminate, "op6_licenses": op6_licenses, "op7_topk": op7_topk, "op8_secrets": op8_secrets,
     "op9_suffix": op9_suffix, "op10_packing": op10_packing,
-    "op11_lines": op11_lines}
-ORACLES = {"op3_chat": chat.ORACLE, "op4_wrappers": ARTICLE_SQL, "op5_decontaminate": LEAK_SQL, "op7_topk": TOPK_SQL, "op11_lines": LINES_SQL}
+    "op11_lines": op11_lines, "op12_whiten": op12_whiten, "op13_codes": op13_codes}
+ORACLES = {"op3_chat": chat.ORACLE, "op4_wrappers": ARTICLE_SQL, "op5_decontaminate": LEAK_SQL, "op7_topk": TOPK_SQL, "op11_lines": LINES_SQL,
+           "op13_codes": _codes_sql()}
