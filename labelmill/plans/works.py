@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from labelmill.functions import html as H
 from labelmill.operators import hydrate, threads
 from labelmill.operators import pages as P
+from labelmill.operators import work_pages as W
 from labelmill.session import spread
 from labelmill.sources.readers import read_table
 
@@ -51,7 +52,10 @@ def html_round_trip(spark, sf):
 
 
 def _work_pages(spark, sf):
-    """Documents as work pages: each line a chapter with notes inside its text. Some are private, some missing."""
+    """Documents as work pages: each line a chapter with notes inside its text.
+
+    Some pages are private, show an error, are not revealed yet or have no work, and some works have no page.
+    """
     lines = F.split("text", "\n")
     chapter = F.transform(lines, lambda line, i: F.concat(
         F.lit("<div id=\"chapter-"), (i + 1).cast("string"), F.lit("\" class=\"chapter\"><h3 class=\"title\">"
@@ -68,44 +72,72 @@ def _work_pages(spark, sf):
               "</div></body></html>"))
     private = F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div id=\"main\"><p>x</p><div id=\"signin\">Log in</div>"
                     "</div></div></body></html>")
-    return _pages(spark, sf, F.col("doc_id").cast("string").alias("work_id"),
-                  F.when(F.col("doc_id") % 11 == 0, private).otherwise(readable), F.col("doc_id") % 13 != 0)
+    error = F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div class=\"system errors\"><h2>Error</h2></div></div></body></html>")
+    unrevealed = F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div id=\"main\"><p class=\"notice\"> This work is part of an ongoing "
+                       "challenge and will be revealed soon! You can find details here: <a href=\"/c\">c</a></p></div></div></body></html>")
+    none = F.lit("<html><body><div class=\"system\"><p>will be revealed soon!</p></div></body></html>")
+    d = F.col("doc_id")
+    page = F.when(d % 11 == 0, private).when(d % 17 == 0, error).when(d % 19 == 0, unrevealed).when(d % 23 == 0, none).otherwise(readable)
+    return _pages(spark, sf, d.cast("string").alias("work_id"), page, d % 13 != 0)
+
+
+def _rich_pages(spark, sf, broken=False):
+    """Documents as work pages with tags, statistics, notes with associations, end notes, series, children and two comments.
 
+    With `broken`, each rule of `work_rules` is broken by the pages of some ids.
+    """
+    number, d = F.col("doc_id").cast("string"), F.col("doc_id")
+
+    def each(n, text, otherwise=""):
+        return F.when(d % n == 0, text).otherwise(otherwise) if broken else (F.lit(otherwise) if isinstance(otherwise, str) else otherwise)
 
-def _rich_pages(spark, sf):
-    """Documents as work pages with tags, statistics, notes with associations, and two comments."""
-    number = F.col("doc_id").cast("string")
     meta = F.concat(
         F.lit("<dl class=\"work meta group\"><dd class=\"fandom tags\"><ul><li><a href=\"/tags/"), F.col("source"),
         F.lit("/works\">"), F.col("source"), F.lit("</a></li></ul></dd>"),
         F.when(F.col("doc_id") % 7 == 0, "<dd class=\"odd tags\"><a href=\"/tags/x/works\">x</a></dd>").otherwise(""),
-        F.lit("<dd class=\"language\">"), F.coalesce("lang", F.lit("none")),
+        F.lit("<dd class=\"rating tags\"><a href=\"/tags/T/works\">Teen</a></dd><dd class=\"freeform tags\"><a href=\"/tags/a/works\">Angst</a>, "
+              "<a href=\"/tags/b/works\">Fluff &amp; co</a></dd>"),
+        F.lit("<dd class=\"language\">"), F.coalesce("lang", F.lit("none")), each(9, "</dd><dd class=\"language\">two"),
         F.lit("</dd><dl class=\"stats\"><dd class=\"published\">2020-03-05</dd><dd class=\"words\">"),
-        F.format_number("n_chars", 0), F.lit("</dd><dd class=\"chapters\">1/?</dd><dd class=\"kudos\">"), number,
-        F.lit("</dd></dl></dl>"))
+        F.format_number("n_chars", 0), each(16, "x"), F.lit("</dd><dd class=\"chapters\">"), each(18, "?", "1/?"),
+        F.lit("</dd><dd class=\"kudos\">"), number, F.lit("</dd>"), each(8, "<dd class=\"odd\">1</dd>"), F.lit("</dl></dl>"))
     notes = F.concat(
         F.lit("<div class=\"notes module\"><h3 class=\"heading\">Notes:</h3><ul class=\"associations\"><li>"),
         F.when(F.col("doc_id") % 2 == 0, "For <a href=\"/users/u/gifts\">u</a>.").otherwise(
             "Inspired by <a href=\"/works/1\">W</a> by <a href=\"/users/v\">v</a>. "),
-        F.lit("</li></ul><blockquote class=\"userstuff\"><p>note</p></blockquote><p class=\"jump\">(See the end)</p></div>"))
+        F.lit("</li></ul><blockquote class=\"userstuff\"><p>note</p></blockquote><p class=\"jump\">(See the end)</p></div>"),
+        each(10, "<div class=\"odd module\"></div>"))
+    afterword = F.concat(
+        F.lit("<div class=\"afterword preface group\"><div id=\"work_endnotes\" class=\"end notes module\"><h3 class=\"heading\">Notes:</h3>"
+              "<blockquote class=\"userstuff\"><p>end "), number, F.lit("</p></blockquote></div>"), each(12, "<div class=\"end notes module\"></div>"),
+        F.lit("<div id=\"series\" class=\"series module\"><h3 class=\"heading\">Series</h3><ul><li><span class=\"position\">Part "),
+        (d % 9 + 1).cast("string"), F.lit(" of <a href=\"/series/"), (d + 5).cast("string"), F.lit("\">Saga "), number,
+        F.lit("</a></span></li><li>Part of <a href=\"/collections/c\">c</a></li></ul></div><div id=\"children\" class=\"children module\">"
+              "<ul><li><a href=\"/works/"), (d * 3).cast("string"), F.lit("\">c</a> by <a href=\"/users/z\">z</a></li></ul></div></div>"))
+    users = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), d % 4), lambda i: F.concat(
+        F.lit("<a href=\"/users/k"), i.cast("string"), F.lit("\">k"), i.cast("string"), F.lit("</a>"))), ", ")
+    kudos = F.concat(users, F.when(d % 3 == 0, F.concat(
+        F.lit(", <a href=\"/works/1/kudos\">"), F.format_number(d + 1000, 0), F.lit(" more users</a>"))).otherwise(""),
+        F.when(d % 5 != 1, F.concat(F.lit(" and "), F.format_number(d + 1, 0), F.when(d == 0, " guest").otherwise(" guests"), F.lit(" left kudos on this work!"))).otherwise(""))
     comments = F.concat(
         F.lit("<div id=\"comments_placeholder\"><ol class=\"thread\"><li class=\"comment group\" id=\"comment_"), number,
-        F.lit("1\"><h4 class=\"heading byline\"><a href=\"/users/a\">a</a> on Chapter 1</h4><blockquote class=\"userstuff\">first"
-              "</blockquote></li><li><ol class=\"thread\"><li class=\"comment group\" id=\"comment_"), number,
+        F.lit("1\"><h4 class=\"heading byline\"><a href=\"/users/a\">a</a> on Chapter 1</h4><blockquote class=\"userstuff\">first"),
+        each(15, "<blockquote>q</blockquote>"), F.lit("</blockquote>"), each(14, "<a href=\"/comments/1\">Parent Thread</a>"),
+        each(14, "<a href=\"/comments/2\">Parent Thread</a>"), F.lit("</li><li><ol class=\"thread\"><li class=\"comment group\" id=\"comment_"), number,
         F.lit("2\"><h4 class=\"heading byline\">guest</h4><blockquote class=\"userstuff\">second</blockquote></li></ol></li></ol>"),
         F.when(F.col("doc_id") % 5 == 0, "<ol class=\"thread\"></ol>").otherwise(""), F.lit("</div>"))
     page = F.concat(
         F.lit("<html><body><div id=\"inner\" class=\"wrapper\"><div id=\"main\">"), meta,
         F.lit("<div id=\"workskin\"><h2 class=\"title heading\">"), F.col("source"),
         F.lit("</h2><h3 class=\"byline heading\"><a href=\"/users/w\">w</a></h3>"), notes,
-        F.lit("<div id=\"chapters\"><div class=\"userstuff\">"), F.col("text"), F.lit("</div></div></div><p class=\"kudos\">"
-              "<a href=\"/users/k\">k</a> and 1,200 guests left kudos on this work!</p>"), comments, F.lit("</div></div></body></html>"))
+        F.lit("<div id=\"chapters\"><div class=\"userstuff\">"), F.col("text"), F.lit("</div></div>"), afterword,
+        F.lit("</div><p class=\"kudos\">"), kudos, F.lit("</p>"), comments, F.lit("</div></div></body></html>"))
     return _pages(spark, sf, F.col("doc_id").cast("string").alias("work_id"), page)
 
 
 def page_record_json(spark, sf):
     """Whole page records, comments included, written as JSON and read back with a schema."""
-    record = P.full_record(_rich_pages(spark, sf))
+    record = W.full_record(_rich_pages(spark, sf))
     schema = record.drop("work_id").schema
     fields = P.record_json(record, "work_id").select("work_id", F.from_json("record", schema).alias("r"))
     return fields.select(
@@ -113,19 +145,25 @@ def page_record_json(spark, sf):
         "r.number_of_words", "r.number_of_chapters", "r.number_of_chapters_planned", "r.number_of_kudos",
         F.date_format("r.published_at", "yyyy-MM-dd").alias("published_at"), F.col("r.authors")[0]["name"].alias("author"),
         F.col("r.notes.jumps")[0].alias("jump"), P.association_types(F.col("r.notes.associations"))[0].alias("association"),
-        F.col("r.kudos_from.guests").alias("guests"), F.size("r.comments").alias("comments"),
+        F.col("r.kudos_from.guests").alias("guests"), F.col("r.kudos_from.more_users").alias("more_users"),
+        F.size("r.kudos_from.users").alias("users"), F.element_at("r.kudos_from.users", -1)["name"].alias("last_user"),
+        F.array_join(F.transform(F.array(*[F.lit(name) for name in W.TAG_TYPES.values()]), lambda t: F.concat_ws(
+            ":", t, F.array_join(F.col("r.tags")[t]["name"], "+"))), " ").alias("tags"),
+        F.col("r.endnotes.content").alias("endnotes"), F.array_join(F.transform("r.series", lambda s: F.concat_ws(
+            "/", s["series_id"], s["part"], s["name"])), ",").alias("series"), F.array_join("r.children", ",").alias("children"),
+        F.size("r.comments").alias("comments"),
         F.col("r.comments")[1]["parent_comment"].alias("parent"), F.col("r.comments")[1]["author"]["name"].alias("guest"),
         F.md5(H.to_text(F.col("r.chapters")[0]["content"])).alias("md5"))
 
 
 def page_quality_report(spark, sf):
-    return P.quality_report(_rich_pages(spark, sf), P.work_rules())
+    return W.quality_report(_rich_pages(spark, sf, broken=True), W.work_rules())
 
 
 def work_page_hydration(spark, sf):
     """Status, chapters and summary of every document's page."""
     works = read_table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("work_id"))
-    fields = P.hydration(_work_pages(spark, sf)).select(
+    fields = W.hydration(_work_pages(spark, sf)).select(
         "work_id", "status", F.size("text").alias("chapters"),
         F.md5(F.array_join(F.transform("text", H.to_text), "|")).alias("text_md5"),
         H.to_text(F.col("summary")).alias("summary"))
@@ -133,8 +171,8 @@ def work_page_hydration(spark, sf):
 
 
 def work_page_record(spark, sf):
-    """Fields of the page record: title, kudos (none on these pages) and chapter numbers."""
-    record = P.work_record(_work_pages(spark, sf).filter(F.col("work_id").cast("bigint") % 11 != 0))
+    """Fields of the page record: status, title, kudos (none on these pages) and chapter numbers; null where not readable."""
+    record = W.work_record(_work_pages(spark, sf))
     return record.select(
         "work_id", "status", "title", F.size("chapters").alias("chapters"),
         F.array_max(F.transform("chapters", lambda c: c["chapter_index"])).alias("last_chapter"),
@@ -158,7 +196,7 @@ def _thread_pages(spark, sf):
 
 def comment_rows(spark, sf):
     """Comments in page order with their text and their parent's place. Half of the pages have no comment ids."""
-    rows = P.comment_rows(_thread_pages(spark, sf), "doc_id")
+    rows = W.comment_rows(_thread_pages(spark, sf), "doc_id")
     in_page = Window.partitionBy("doc_id").orderBy("position")
     numbered = rows.withColumn("number", F.row_number().over(in_page))
     parents = numbered.select("doc_id", F.col("comment_id").alias("parent_comment"), F.col("number").alias("parent_number"))
@@ -190,32 +228,38 @@ _LINES = """lines AS (SELECT doc_id, i, l[i] AS line, len(l) AS n FROM (
 _QUOTE = _LINE.format("text || ' in ' || doc_id || ' behind'")
 _ALL = _LINE.format("text || ' in ' || doc_id || ' behind ' || '" + TAIL_TEXT.replace("'", "''") + "'")
 
+_STATUS = """CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'private' WHEN doc_id % 17 = 0 THEN 'error'
+    WHEN doc_id % 19 = 0 THEN 'unrevealed' WHEN doc_id % 23 = 0 THEN 'malformed' ELSE 'ok' END"""
+
 ORACLES = {
     "html_round_trip": f"SELECT doc_id, md5({_ALL}) AS text_md5, md5({_QUOTE}) AS quote_md5 FROM documents",
     "page_record_json": f"""SELECT doc_id::VARCHAR AS work_id, 'ok' AS status, coalesce(lang, 'none') AS language, source AS title,
             '/tags/' || source || '/works' AS fandom, CAST(n_chars AS INT) AS number_of_words, 1 AS number_of_chapters,
-            NULL::INT AS number_of_chapters_planned, CAST(doc_id AS INT) AS number_of_kudos, '2020-03-05' AS published_at,
+            NULL::INT AS number_of_chapters_planned, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id + 1000 AS INT) ELSE 0 END AS more_users,
+            CAST(doc_id % 4 + 1 AS INT) AS users, 'k' || doc_id % 4 AS last_user,
+            'rating:Teen warning: category: fandom:' || source || ' relationship: character: additional:Angst+Fluff & co' AS tags,
+            '<p>end ' || doc_id || '</p>' AS endnotes, (doc_id + 5) || '/' || (doc_id % 9 + 1) || '/Saga ' || doc_id AS series,
+            (doc_id * 3)::VARCHAR AS children, CAST(doc_id AS INT) AS number_of_kudos, '2020-03-05' AS published_at,
             'w' AS author, '<p class="jump">(See the end)</p>' AS jump,
-            CASE WHEN doc_id % 2 = 0 THEN 'gift_for' ELSE 'inspired_by' END AS association, 1200 AS guests, 2 AS comments,
+            CASE WHEN doc_id % 2 = 0 THEN 'gift_for' ELSE 'inspired_by' END AS association, CASE WHEN doc_id % 5 <> 1 THEN CAST(doc_id + 1 AS INT) ELSE 0 END AS guests, 2 AS comments,
             doc_id || '1' AS parent, 'guest' AS guest, md5({_LINE.format("text")}) AS md5 FROM documents""",
-    "page_quality_report": """WITH n AS (SELECT count(*) FILTER (doc_id % 7 = 0) AS tags, count(*) FILTER (doc_id % 5 = 0) AS roots
-            FROM documents)
-        SELECT 'unknown tag type' AS rule, tags AS violations FROM n UNION ALL SELECT 'several root threads', roots FROM n
-        UNION ALL SELECT r, 0 FROM (VALUES ('unknown statistic'), ('several languages'), ('unknown module'), ('several end notes'),
-            ('several parent links'), ('nested quotes'), ('bad word count'), ('no chapters fraction')) v(r)""",
+    "page_quality_report": """SELECT rule, count(*) FILTER (doc_id % every = 0) AS violations FROM documents CROSS JOIN (VALUES
+            ('unknown statistic', 8), ('unknown tag type', 7), ('several languages', 9), ('unknown module', 10), ('several end notes', 12),
+            ('several root threads', 5), ('several parent links', 14), ('nested quotes', 15), ('bad word count', 16),
+            ('no chapters fraction', 18)) rules(rule, every) GROUP BY rule""",
     "work_page_hydration": f"""WITH {_LINES}, texts AS (
             SELECT doc_id, CAST(count(*) AS INT) AS chapters,
                    md5(string_agg({_LINE.format("line || ' mid end'")}, '|' ORDER BY i)) AS text_md5 FROM lines GROUP BY 1)
-        SELECT doc_id::VARCHAR AS work_id,
-            CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'private' ELSE 'ok' END AS status,
-            CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 THEN chapters END AS chapters,
-            CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 THEN text_md5 END AS text_md5,
-            CASE WHEN doc_id % 13 <> 0 AND doc_id % 11 <> 0 THEN 'About ' || doc_id || ' quoted reply' END AS summary
+        SELECT doc_id::VARCHAR AS work_id, {_STATUS} AS status,
+            CASE WHEN {_STATUS} = 'ok' THEN chapters END AS chapters, CASE WHEN {_STATUS} = 'ok' THEN text_md5 END AS text_md5,
+            CASE WHEN {_STATUS} = 'ok' THEN 'About ' || doc_id || ' quoted reply' END AS summary
         FROM texts""",
-    "work_page_record": """SELECT doc_id::VARCHAR AS work_id, 'ok' AS status, 'Title' AS title,
-            CAST(len(string_split(text, chr(10))) AS INT) AS chapters,
-            CAST(len(string_split(text, chr(10))) AS INT) AS last_chapter, NULL::INT AS guests, NULL::INT AS more_users
-        FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 11 <> 0""",
+    "work_page_record": f"""SELECT doc_id::VARCHAR AS work_id, {_STATUS} AS status,
+            CASE WHEN {_STATUS} = 'ok' THEN 'Title' END AS title,
+            CASE WHEN {_STATUS} = 'ok' THEN CAST(len(string_split(text, chr(10))) AS INT) END AS chapters,
+            CASE WHEN {_STATUS} = 'ok' THEN CAST(len(string_split(text, chr(10))) AS INT) END AS last_chapter,
+            NULL::INT AS guests, NULL::INT AS more_users
+        FROM documents WHERE doc_id % 13 <> 0""",
     "comment_rows": f"""WITH {_LINES} SELECT doc_id, CAST(i AS INT) AS number,
             CASE WHEN i % 2 = 0 THEN CAST(i - 1 AS INT) END AS parent_number,
             md5({_LINE.format("line || ' quoted reply'")}) AS md5 FROM lines""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelmill.functions import html as H
 from labelmill.functions import scalars
 from labelmill.functions import text as X
-from labelmill.operators import hydrate, pages, threads
+from labelmill.operators import hydrate, pages, threads, work_pages
 from labelmill.operators.prepare import prepare_works
 
 
@@ -113,7 +113,7 @@ def pages_df(spark, *rows):
 
 
 def test_work_record(spark):
-    row = pages.work_record(pages_df(spark, ("5", page()))).first()
+    row = work_pages.work_record(pages_df(spark, ("5", page()))).first()
     assert row["status"] == "ok" and row["title"] == "Sun" and row["language"] == "English"
     assert [t["name"] for t in row["tags"]["additional"]] == ["Angst", "Fluff"]
     assert [t["path"] for t in row["tags"]["rating"]] == ["/tags/T"] and row["tags"]["warning"] == []
@@ -132,18 +132,18 @@ def test_work_record(spark):
 def test_record_chapters_and_hydration(spark):
     single = page(chapters='<div class="userstuff"><p>Only</p></div>')
     df = pages_df(spark, ("m", page()), ("s", single), ("x", "<p>"))
-    many = {r["work_id"]: r["chapters"] for r in pages.work_record(df).collect()}
+    many = {r["work_id"]: r["chapters"] for r in work_pages.work_record(df).collect()}
     assert [(c["title"], c["chapter_index"], c["path"], c["content"]) for c in many["m"]] == [
         ("Chapter 1", 1, "/works/5/chapters/51", "<p>One &amp; all</p>"), (None, 2, None, "<p>Two</p>")]
     assert [c["chapter_index"] for c in many["s"]] == [None] and many["x"] is None
-    got = {r["work_id"]: r for r in pages.hydration(df).collect()}
+    got = {r["work_id"]: r for r in work_pages.hydration(df).collect()}
     assert got["m"]["text"] == ["<p>One &amp; all</p>", "<p>Two</p>"] and got["s"]["text"] == ["<p>Only</p>"]
     assert (got["m"]["summary"], got["m"]["notes"], got["m"]["endnotes"]) == ("<p>S</p>", "<p>N</p>", "E")
     assert got["x"]["status"] == "malformed" and got["x"]["text"] is None
 
 
 def test_empty_word_count_is_null(spark):
-    assert pages.work_record(pages_df(spark, ("5", page(words="")))).first()["number_of_words"] is None
+    assert work_pages.work_record(pages_df(spark, ("5", page(words="")))).first()["number_of_words"] is None
 
 
 def test_chapters_many_and_single(spark):
@@ -166,7 +166,7 @@ def test_page_status(spark):
 
 
 def test_comments(spark):
-    rows = pages.comment_rows(pages_df(spark, ("5", page())))
+    rows = work_pages.comment_rows(pages_df(spark, ("5", page())))
     got = {r["comment_id"]: r for r in rows.collect()}
     assert {k: r["parent_comment"] for k, r in got.items()} == {"1": None, "2": "1", "3": "2", "4": None}
     assert got["2"]["deleted"] and not got["1"]["deleted"]
@@ -198,15 +198,15 @@ def test_previous_in_group_over_many_blocks(spark):
 
 
 def test_record_json(spark):
-    record = pages.work_record(pages_df(spark, ("5", page())))
+    record = work_pages.work_record(pages_df(spark, ("5", page())))
     data = json.loads(pages.record_json(record, "work_id").first()["record"])
     assert data["published_at"] == "2020-03-05" and data["updated_at"] is None
 
 
 def test_quality_report(spark):
     twice = page().replace('<dd class="language">English</dd>', '<dd class="language">A</dd><dd class="language">B</dd>')
-    got = {r["rule"]: r["violations"] for r in pages.quality_report(
-        pages_df(spark, ("1", page()), ("2", twice)), pages.work_rules()).collect()}
+    got = {r["rule"]: r["violations"] for r in work_pages.quality_report(
+        pages_df(spark, ("1", page()), ("2", twice)), work_pages.work_rules()).collect()}
     assert got["several languages"] == 1 and got["unknown module"] == 0
 
 
