@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from labelmill.session import small_table
+
 MISSING = "missing"
 
 
@@ -23,6 +25,27 @@ def outcome(attached: DataFrame) -> DataFrame:
     return attached.groupBy("status").agg(F.count("*").alias("works"))
 
 
+#: What can become of a work: the states of its page, or none.
+STATES = ("ok", "private", "error", "unrevealed", "malformed", MISSING)
+
+
+def counted(attached: DataFrame) -> tuple[DataFrame, Observation]:
+    """The same rows, and the number of works per state, counted by whatever job writes them.
+
+    Read `outcome_of` after the write; nothing is read or joined a second time for the counts.
+    """
+    seen = Observation()
+    known = [F.count_if(F.col("status") == s).alias(s) for s in STATES]
+    return attached.observe(seen, F.count("*").alias("works"), *known), seen
+
+
+def outcome_of(seen: Observation, spark: SparkSession) -> DataFrame:
+    """Rows (status, works) of the states that occur; works in an unknown state are counted as `other`."""
+    counts = dict(seen.get)
+    counts["other"] = counts.pop("works") - sum(counts.values())
+    return small_table(spark, [(s, n) for s, n in counts.items() if n], "status string, works bigint")
+
+
 def available(attached: DataFrame, text_fields=("notes", "endnotes", "summary")) -> DataFrame:
     """Works whose page could be read, with empty strings for absent text fields."""
     kept = attached.filter(F.col("status") == "ok").drop("status")

@@ -182,7 +182,12 @@ def slice_confusion(preds: DataFrame, labels: Labels, model: str = "model",
     `fine` in their name also get the slices `open` and `closed`, which keep all rows and only some
     labels.
     """
-    combined = confusion(preds, labels, [model, slices])
+    return unfold_slices(confusion(preds, labels, [model, slices]), labels, model, slices, names)
+
+
+def unfold_slices(combined: DataFrame, labels: Labels, model: str = "model", slices: str = "slices",
+                  names: list[str] | None = None) -> DataFrame:
+    """Counts per model, slice and label from counts per model, combination of slices and label."""
     every = F.array(*[F.lit(s) for s in (slice_names() if names is None else names)])
     member = F.when(F.col("slice").isin(OPEN, CLOSED), ALL).otherwise(F.col("slice"))
     opened = _by_level(labels, lambda own: F.array_contains(

@@ -7,12 +7,16 @@ ids that divide by 17.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelmill.operators import evaluate, scoring
 from labelmill.operators.support import tag_support
 from labelmill.plans import standins as S
-from labelmill.session import small_table
+from labelmill.session import durable, ensure_checkpoint_dir, small_table
+from labelmill.sources import readers, writers
+from labelmill.streaming.evaluation import count_stream, scores
 
 SETS = {"coarse": S.DOCS_COARSE, "fine": S.DOCS}
 DIM = [("coarse", "content", "top", 1), ("fine", "toxic", "top", 1), ("fine", "quality", "mid", 2)]
@@ -63,7 +67,32 @@ def rejected_predictions(spark, sf):
     return scoring.rejected(_preds(spark, sf), SETS).groupBy("model", "flaw").agg(F.count("*").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (evaluate_all, evaluate_tables, rejected_predictions)}
+def evaluate_folder(spark, sf):
+    """Result files of both layouts, some without labels, counted in two runs of a stream; scores written and read back.
+
+    The second run meets the files of one more model and counts only those.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4()}"
+    name = f"counts_{uuid.uuid4().hex}"
+    preds, records = durable(_preds(spark, sf)), durable(_records(spark, sf))
+    neural = F.col("model") == "fine_words"
+    for own, scored in ((~neural, False), (neural, True)):
+        part = preds.filter(own)
+        writers.write_predictions(part, f"{folder}/files", scored)
+        # Rows that only say what was predicted.
+        writers.write_predictions(part.withColumn("truth", F.lit(None).cast("array<int>")), f"{folder}/files", scored)
+        count_stream(spark, f"{folder}/files", records, SETS, f"{folder}/state", name).awaitTermination()
+    writers.write_scores(scores(spark.table(name), SETS), f"{folder}/scores")
+    kinds = "model string, slice string, n bigint, " + ", ".join(f"{m} double" for m in METRICS)
+    return readers.read_json(spark, f"{folder}/scores", kinds).unpivot(["model", "slice", "n"], list(METRICS), "metric", "value")
+
+
+def training_metrics(spark, sf):
+    """Micro F1, macro F1 and exact-match share of one model, as watched during training."""
+    return scoring.training_metrics(S.doc_preds(spark, sf).filter(F.col("model") == "fine_length"), S.DOCS)
+
+
+QUERIES = {f.__name__: f for f in (evaluate_all, evaluate_folder, evaluate_tables, rejected_predictions, training_metrics)}
 
 _BASE = S.DOC_CELLS.replace("\ncells AS (", "\nall_cells AS (")
 _CELLS = f"""{_BASE}, cells AS (
@@ -79,9 +108,14 @@ _SLICED = (f"{_CELLS}, {S.DOC_SUPPORT}, {S.DOC_SLICES}, conf AS ({S.conf_sql('mo
            "mic_r, mic_f1, sub_acc FROM wanted LEFT JOIN scored USING (model, slice))")
 _DIM = f"dim(level, label, section, freq_rank) AS (VALUES {S.sql_values(DIM)})"
 
+_ALL = f"""WITH {_SLICED} SELECT model, slice, n, metric, value
+    FROM every UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(METRICS)}))"""
+
 ORACLES = {
-    "evaluate_all": f"""WITH {_SLICED} SELECT model, slice, n, metric, value
-        FROM every UNPIVOT INCLUDE NULLS (value FOR metric IN ({', '.join(METRICS)}))""",
+    "evaluate_all": _ALL,
+    "evaluate_folder": _ALL,
+    "training_metrics": f"""SELECT mic_f1 AS f1, mac_f1 AS f1_macro, sub_acc AS accuracy
+        FROM ({S.score_sql(S.DOC_CELLS, 'model')}) WHERE model = 'fine_length'""",
     "evaluate_tables": f"""WITH {_CELLS}, conf AS ({S.conf_sql('model')}), {_DIM},
         named AS (SELECT *, CASE WHEN contains(model, 'coarse') THEN 'coarse' ELSE 'fine' END AS level FROM conf),
         summed AS (SELECT section AS name, model, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn

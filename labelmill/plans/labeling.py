@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from labelmill.functions.labelsets import COARSE, COARSE_LABELS, FINE, FINE_LABELS
 from labelmill.functions.scalars import sigmoid, threshold
 from labelmill.operators import hydrate, labeling, pages, support, threads
 from labelmill.plans import standins as S
+from labelmill.session import ensure_checkpoint_dir
 from labelmill.sources.readers import read_table
 
 
@@ -85,11 +88,13 @@ def threshold_scores(spark, sf):
 
 
 def hydrate_outcome(spark, sf):
-    """Documents joined to pages of the same id: how many could be read."""
+    """Documents joined to pages of the same id: how many could be read, counted by the job that writes them."""
     found = S.pages(spark, sf).select(
         F.col("page_id").alias("doc_id"), pages.status(F.col("html"), pages.ARTICLE_LAYOUT).alias("status"))
     works = read_table(spark, sf, "documents").select("doc_id")
-    return hydrate.outcome(hydrate.attach_pages(works, found, "doc_id"))
+    attached, seen = hydrate.counted(hydrate.attach_pages(works, found, "doc_id"))
+    attached.write.parquet(f"{ensure_checkpoint_dir(spark)}/hydrated-{uuid.uuid4()}")
+    return hydrate.outcome_of(seen, spark)
 
 
 def split_assign(spark, sf):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.functions.scalars import file_stem, strip
@@ -31,30 +33,40 @@ def read_hydrated(spark: SparkSession, path: str) -> DataFrame:
     return read_json(spark, path, HYDRATED_WORK)
 
 
-def read_prepared(spark: SparkSession, **split_paths: str) -> DataFrame:
-    """Prepared examples of several splits as one DataFrame with a `split` column."""
-    parts = [read_json(spark, path, PREPARED).withColumn("split", F.lit(split))
-             for split, path in split_paths.items()]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    return stacked
+def _name(column: str) -> Column:
+    """Name of what a file belongs to: of its folder `column=name` where a job wrote several files, else its stem."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), f"/{column}=([^/]+)/[^/]*$", 1)
+    return F.coalesce(F.nullif(folder, F.lit("")), file_stem(F.col("_metadata.file_name")))
 
 
-def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """All result files of a folder in one scan; the file stem names the model."""
-    return (
-        spark.read.schema(PREDICTION).option("pathGlobFilter", "*.jsonl").json(folder)
-        .select("*", file_stem(F.col("_metadata.file_name")).alias("model"))
-    )
+def read_prepared(spark: SparkSession, **split_paths: str) -> DataFrame:
+    """Prepared examples of several splits in one scan, with a `split` column told by the path of the file."""
+    path = F.col("_metadata.file_path")
+    split = F.lit(None).cast("string")
+    # The longest path first, so that a folder inside another one keeps its own split.
+    for name, wanted in sorted(split_paths.items(), key=lambda item: len(item[1])):
+        inside = re.sub(r"^[a-z0-9]+:/+", "/", wanted.rstrip("/"))
+        pattern = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c)) for c in inside)
+        split = F.when(path.rlike(f"{pattern}(/|$)"), name).otherwise(split)
+    return spark.read.schema(PREPARED).json(list(split_paths.values())).withColumn("split", split)
+
+
+def read_predictions(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """All result files of a folder in one scan, or as a stream of growing files.
+
+    A model is one file, named by it, or a folder `model=name` of files. Both layouts and rows without labels are
+    read; missing fields are null.
+    """
+    source = spark.readStream if stream else spark.read
+    files = source.schema(PREDICTION).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json*").json(folder)
+    return files.select("*", _name("model").alias("model"))
 
 
 def read_splits(spark: SparkSession, folder: str) -> DataFrame:
-    """Id lists, one work per line; the file stem names the split."""
+    """Id lists, one work per line; the file's stem names the split, or its folder `split=name`."""
     return (
-        spark.read.text(folder)
-        .select(strip(F.col("value")).alias("work_id"),
-                file_stem(F.col("_metadata.file_name")).alias("split"))
+        spark.read.option("recursiveFileLookup", "true").text(folder)
+        .select(strip(F.col("value")).alias("work_id"), _name("split").alias("split"))
         .filter(F.col("work_id") != "")
     )
 
