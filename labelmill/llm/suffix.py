@@ -1,19 +1,18 @@
 """Removal of repeated byte strings through a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first `width` bytes (a window), by most-significant-digit passes;
+Suffixes are ordered only through their first `width` bytes (a window), by most-significant-digit passes of 8 bytes;
 what is equal after the last pass are exactly the repeated windows, and a bucket of one needs no further pass.
-So that the first digit prunes nearly everything for few rows, digits are taken in an order that equal
-windows share:
+A row for every suffix would be many times the text, so suffixes that share no window are left out before:
 
-1. The window's anchor: the 32-byte gram in it whose scrambled hash is smallest (the leftmost such). Adjacent
-   windows share anchors, so a run of about 35 windows is one row. Runs whose anchor occurs once are done.
-2. The bytes that the windows of a run cover. Equal runs are equal window by window: all but the earliest
-   repeat it, and only the earliest goes on. Copies within a batch are settled before the shuffle, so that a
-   passage of a third of all documents sends one row for each batch to its anchor's partition.
-3. All bytes of each window, for the different runs that share an anchor (the borders of repeated passages).
+1. A window's anchor is the 32-byte gram in it whose scrambled hash is smallest (the leftmost such). Equal windows
+   share it, and adjacent windows too, so that a run of about 35 windows is one row. Runs whose anchor occurs once are
+   done, and of runs with the same anchor and bytes (64-bit hashes of both) the earliest goes on: the others repeat it.
+2. The windows of the runs that are left, different runs with a common anchor, are sorted by their bytes: block by
+   block in most-significant-digit passes, of which the earliest of equal windows goes on, then over the table.
 
-Buckets are sorted by Spark and read as a stream with one run held back, so no bucket has to fit in memory.
-Digits are 64-bit hashes, compared only within a bucket of the digits before.
+Nothing hot meets in one task: equal runs of a batch and equal windows of a block send one row, and runs whose anchor has
+several bodies in a batch are dealt by their bytes, two of them also by anchor to tell the others. Sorted
+rows are read as a stream with one held back, so no bucket has to fit in memory.
 
 Defined results: a null or empty text has nothing to remove; windows never cross documents; documents are
 ordered by doc_id, a missing one first, and rows of one doc_id by a hash of their text; rows equal in id and text get
@@ -40,10 +39,12 @@ GRAM = 32
 PART_BYTES = 4 << 20
 _AT = np.uint64((1 << 24) - 1)
 
-RUN = "gram long, body long, doc long, text_hash long, start long, n long, settled boolean"
-_RUN = pa.schema([(c.split()[0], pa.int64()) for c in RUN.split(", ")[:-1]] + [("settled", pa.bool_())])
-BUCKET = "gram long, doc long, text_hash long, start long, n long, open boolean"
-_BUCKET = pa.schema([(c, pa.int64()) for c in ("gram", "doc", "text_hash", "start", "n")] + [("open", pa.bool_())])
+RUN = "gram long, body long, doc long, text_hash long, start long, n long, settled boolean, known boolean"
+_RUN = pa.schema([(c.split()[0], pa.bool_() if "boolean" in c else pa.int64()) for c in RUN.split(", ")])
+BUCKET = "doc long, text_hash long, start long, n long, open boolean"
+_BUCKET = pa.schema([(c, pa.int64()) for c in ("doc", "text_hash", "start", "n")] + [("open", pa.bool_())])
+WINDOW = "window binary, doc long, text_hash long, start long, n long"
+_WINDOW = pa.schema([("window", pa.binary()), *((c, pa.int64()) for c in ("doc", "text_hash", "start", "n"))])
 SPAN = "doc long, text_hash long, start long, n long"
 _SPAN = pa.schema([(c, pa.int64()) for c in ("doc", "text_hash", "start", "n")])
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -125,14 +126,27 @@ def _find_runs(width: int):
             settled[order[~twin]] = True
             # Settled runs are dealt out by their own place.
             place = common.mix(doc.view(np.uint64) * np.uint64(31) + hashed.view(np.uint64) + start.view(np.uint64))
-            gram = np.where(settled, place.view(np.int64), gram)
-            yield common.table({"gram": gram, "body": body, "doc": doc, "text_hash": hashed, "start": start, "n": n, "settled": settled}, _RUN)
+            deal = np.where(settled, place.view(np.int64), gram)
+            # Runs known here to share their anchor with others are dealt by their bytes, two of each anchor by both.
+            left = np.flatnonzero(~settled)
+            left = left[np.lexsort((body[left], gram[left]))]
+            new = np.concatenate([[True], gram[left][1:] != gram[left][:-1]]) if len(left) else np.zeros(0, dtype=bool)
+            last = np.concatenate([new[1:], [True]]) if len(left) else new
+            shared = left[~(new & last)]
+            deal[shared] = (common.mix(gram[shared].view(np.uint64)) ^ body[shared].view(np.uint64)).view(np.int64)
+            known = np.zeros(len(gram), dtype=bool)
+            known[shared] = True
+            told = left[new ^ last]
+            take = np.concatenate([np.arange(len(gram)), told])
+            yield common.table({"gram": np.concatenate([deal, gram[told]]), "body": body[take], "doc": doc[take], "text_hash": hashed[take],
+                                "start": start[take], "n": n[take], "settled": settled[take],
+                                "known": np.concatenate([known, np.zeros(len(told), dtype=bool)])}, _RUN)
 
     return run
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second digit. Repeated runs (open false) and the different runs that share an anchor (open true).
+    """Repeated runs (open false) and the different runs that share an anchor (open true).
 
     Rows come ordered by gram, body and place. Held over from batch to batch: the earliest run of the last
     body, and whether its gram is known to have several bodies, in which case that run was given out.
@@ -141,77 +155,131 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     several = False
     for batch in batches:
         settled = batch.column("settled").to_numpy(zero_copy_only=False)
-        whole = [batch.column(c).to_numpy() for c in ("gram", "body", "doc", "text_hash", "start", "n")]
-        parts = [([c[settled] for c in (whole[0], *whole[2:])], False)]
+        whole = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "body", "doc", "text_hash", "start", "n", "known")]
+        parts = [([c[settled] for c in whole[2:6]], False)]
         cols = [c[~settled] for c in whole]
         if len(cols[0]):
             if held is not None:
                 cols = [np.concatenate([[h], c]) for h, c in zip(held, cols)]
-            gram, body, doc, hashed, start, n = cols
+            gram, body, doc, hashed, start, n, known = cols
             new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
             new_body = new_gram | np.concatenate([[True], body[1:] != body[:-1]])
             heads = np.flatnonzero(new_body)
             lead = heads[np.cumsum(new_body) - 1]
             later = ~((doc == doc[lead]) & (hashed == hashed[lead]) & (start == start[lead]))
             of = np.cumsum(new_gram)[heads] - 1
-            bodies = np.bincount(of)
-            shared = bodies > 1
+            shared = np.bincount(of) > 1
+            shared |= np.bincount(np.cumsum(new_gram) - 1, weights=known) > 0
             shared[0] |= several
             give = shared[of]
             give[0] &= not several
-            parts += [([c[later] for c in (gram, doc, hashed, start, n)], False),
-                      ([c[heads[give]] for c in (gram, doc, hashed, start, n)], True)]
-            held, several = tuple(int(c[heads[-1]]) for c in cols), bool(shared[-1])
-        names = ("gram", "doc", "text_hash", "start", "n")
+            parts += [([c[later] for c in (doc, hashed, start, n)], False),
+                      ([c[heads[give]] for c in (doc, hashed, start, n)], True)]
+            held, several = tuple(c[heads[-1]] for c in cols), bool(shared[-1])
+        names = ("doc", "text_hash", "start", "n")
         rows = {c: np.concatenate([p[i] for p, _ in parts]) for i, c in enumerate(names)}
         yield common.table(rows | {"open": np.concatenate([np.full(len(p[0]), o) for p, o in parts])}, _BUCKET)
 
 
-def _windows(width: int):
-    """Third digit: spans of the windows that an earlier run of the same gram holds too."""
+def radix_groups(data: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, bucket) of the windows data[b:b + width] that are not alone in their bucket, by bucket.
+
+    Most-significant-digit passes of 8 bytes: each splits the buckets of the pass before and drops buckets of one.
+    """
+    data = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.zeros(len(data) - 8, dtype=np.uint64)
+    for k in range(8):
+        words = (words << np.uint64(8)) | data[k:len(words) + k]
+    member, bucket = np.arange(len(begin)), np.zeros(len(begin), dtype=np.int64)
+    for at in range(0, width, 8):
+        digit = words[begin[member] + at] >> np.uint64(8 * max(0, at + 8 - width))
+        order = np.lexsort((digit, bucket))
+        member, bucket, digit = member[order], bucket[order], digit[order]
+        new = np.ones(len(member) + 1, dtype=bool)
+        new[1:-1] = (bucket[1:] != bucket[:-1]) | (digit[1:] != digit[:-1])
+        among = ~(new[:-1] & new[1:])
+        member, bucket = member[among], np.cumsum(new[:-1])[among]
+    return member, bucket
+
+
+def _spans(doc, hashed, start) -> dict[str, np.ndarray]:
+    """Neighbouring windows as one span; places in order."""
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (hashed[1:] != hashed[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    return {"doc": doc[first], "text_hash": hashed[first], "start": start[first], "n": np.diff(np.append(first, len(doc)))}
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, width: int) -> pa.Array:
+    cells = np.ascontiguousarray(data[begin[:, None] + np.arange(width)])
+    offsets = (np.arange(len(begin) + 1) * width).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(cells)])
+
+
+def _block_windows(pieces: list[tuple[int, int, int, int, bytes]], width: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of a block as spans without a window, and the earliest of all its windows with their bytes."""
+    doc, hashed, start, n = (np.array(c, dtype=np.int64) for c in list(zip(*pieces))[:4])
+    data = np.frombuffer(b"".join(p[4] for p in pieces), dtype=np.uint8)
+    sizes = n + width - 1
+    row = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    begin = np.repeat(np.cumsum(sizes) - sizes, n) + j
+    doc, hashed, start = doc[row], hashed[row], start[row] + j
+    member, bucket = radix_groups(data, begin, width)
+    order = np.lexsort((start[member], hashed[member], doc[member], bucket))
+    member, bucket = member[order], bucket[order]
+    new = np.ones(len(member), dtype=bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    lead = member[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(member) else member
+    gone = np.zeros(len(row), dtype=bool)
+    gone[member[~new]] = True
+    again = member[(doc[member] != doc[lead]) | (hashed[member] != hashed[lead]) | (start[member] != start[lead])]
+    again = again[np.lexsort((start[again], hashed[again], doc[again]))]
+    if len(again):
+        spans = _spans(doc[again], hashed[again], start[again])
+        yield common.table({"window": pa.nulls(len(spans["doc"]), pa.binary())} | spans, _WINDOW)
+    left = np.flatnonzero(~gone)
+    for at in range(0, len(left), 50_000):
+        some = left[at:at + 50_000]
+        yield common.table({"window": _binary(data, begin[some], width), "doc": doc[some], "text_hash": hashed[some],
+                            "start": start[some], "n": np.ones(len(some), dtype=np.int64)}, _WINDOW)
+
 
+def _windows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, before = None, np.zeros(0, dtype=np.uint64), None
+        held, size = [], 0
         for batch in batches:
-            gram, doc, hashed, start, n = (batch.column(c).to_numpy() for c in ("gram", "doc", "text_hash", "start", "n"))
-            bodies = batch.column("bytes").to_pylist()
-            at = 0
-            while at < len(gram):
-                # A block of rows of bounded size.
-                end = min(len(gram), at + 2000)
-                rolling = common.RollingHash(np.frombuffer(b"".join(bodies[at:end]), dtype=np.uint8))
-                count = n[at:end]
-                sizes = count + width - 1
-                base = np.cumsum(sizes) - sizes
-                row = np.repeat(np.arange(at, end), count)
-                j = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                begin = np.repeat(base, count) + j
-                value = common.mix(rolling.slices(begin, begin + width))
-                same = np.zeros(len(row), dtype=bool)
-                # Rows equal in place are one run.
-                place = list(zip(gram[at:end].tolist(), doc[at:end].tolist(), hashed[at:end].tolist(), start[at:end].tolist()))
-                again = np.array([p == q for p, q in zip(place, [before, *place[:-1]])])
-                fresh = ~again[row - at]
-                order = np.lexsort((row, value, gram[row]))
-                order = order[fresh[order]]
-                equal = (gram[row[order]][1:] == gram[row[order]][:-1]) & (value[order][1:] == value[order][:-1])
-                same[order[1:][equal]] = True
-                of_last = (gram[row] == last) if last is not None else np.zeros(len(row), dtype=bool)
-                same |= of_last & fresh & np.isin(value, seen)
-                tail = value[fresh & (gram[row] == gram[end - 1])]
-                seen = np.unique(np.concatenate([seen, tail]) if gram[end - 1] == last else tail)
-                last, before, at = int(gram[end - 1]), place[-1], end
-                hit = np.flatnonzero(same)
-                if len(hit):
-                    cut = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (row[hit][1:] != row[hit][:-1])])
-                    first = hit[cut]
-                    lengths = np.diff(np.append(np.flatnonzero(cut), len(hit)))
-                    yield common.table({"doc": doc[row[first]], "text_hash": hashed[row[first]],
-                                        "start": start[row[first]] + j[first], "n": lengths}, _SPAN)
+            for doc, hashed, text, runs in zip(*(batch.column(c) for c in ("doc", "text_hash", "text", "runs"))):
+                text = text.as_py()
+                for run in runs.as_py():
+                    body = text[run["start"]:run["start"] + run["n"] + width - 1]
+                    held.append((doc.as_py(), hashed.as_py(), run["start"], run["n"], body))
+                    size += len(body)
+                    if size > common.BLOCK_BYTES:
+                        yield from _block_windows(held, width)
+                        held, size = [], 0
+        if held:
+            yield from _block_windows(held, width)
 
     return run
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows, in order of their bytes and places, that an earlier place holds too."""
+    lead = None
+    for batch in batches:
+        out = []
+        for window, *place in zip(*(batch.column(c).to_pylist() for c in _WINDOW.names)):
+            if window is None:
+                out.append(place)
+            elif lead is None or window != lead[0]:
+                lead = window, place
+            elif place != lead[1]:
+                out.append(place)
+        if out:
+            yield common.table(dict(zip(_SPAN.names, zip(*out))), _SPAN)
+
+
 def kept_of(text: bytes, spans: list[tuple[int, int]], width: int) -> tuple[int, int, bytes]:
     """(removed bytes, maximal removed runs, remaining bytes) for spans (first window, windows)."""
     runs: list[list[int]] = []
@@ -243,17 +311,17 @@ def _cut(width: int):
 def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, text_hash, start, n): n windows from byte `start` on that also start earlier.
 
-    `rows` has doc, text_hash and the text as bytes.
+    `rows` has doc, text_hash and the text as bytes; other columns are only passed to the join.
     """
     runs = rows.mapInArrow(_find_runs(width), RUN).repartition("gram")
     runs = runs.sortWithinPartitions("gram", "settled", "body", "doc", "text_hash", "start")
     buckets = durable(runs.mapInArrow(_buckets, BUCKET))
-    listed = buckets.filter("open").groupBy("doc", "text_hash").agg(F.collect_list(F.struct("gram", "start", "n")).alias("runs"))
-    bodies = rows.join(listed, ["doc", "text_hash"]).select("doc", "text_hash", F.explode(F.transform(
-        "runs", lambda r: F.struct(r.gram, r.start, r.n, F.substring("text", (r.start + 1).cast("int"), (r.n + width - 1).cast("int")).alias("bytes")))).alias("r"))
-    bodies = bodies.select("r.gram", "doc", "text_hash", "r.start", "r.n", "r.bytes").repartition("gram")
-    bodies = bodies.sortWithinPartitions("gram", "doc", "text_hash", "start")
-    return buckets.filter("not open").select("doc", "text_hash", "start", "n").unionByName(bodies.mapInArrow(_windows(width), SPAN))
+    # A run that was dealt twice counts once.
+    listed = buckets.filter("open").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+    found = rows.join(listed, ["doc", "text_hash"]).select(*rows.columns, "runs").mapInArrow(_windows(width), WINDOW)
+    found = found.repartition(F.when(F.col("window").isNull(), F.hash("doc", "text_hash", "start")).otherwise(F.hash("window")))
+    found = found.sortWithinPartitions("window", "doc", "text_hash", "start")
+    return buckets.filter("not open").select("doc", "text_hash", "start", "n").unionByName(found.mapInArrow(_neighbours, SPAN))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -261,7 +329,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.col("text").cast("binary").alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    spans = repeated_spans(rows.select("doc", "text_hash", "text"), width)
+    # Both joins of the texts take all columns of `rows`, so that one shuffle of the texts serves them.
+    spans = repeated_spans(rows, width)
     by_doc = spans.groupBy("doc", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     joined = rows.join(by_doc, ["doc", "text_hash"], "left").select("doc_id", "text", "starts", "counts")
     return joined.mapInArrow(_cut(width), RESULT)

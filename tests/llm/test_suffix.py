@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from labelmill.llm import queries, suffix
 
@@ -69,3 +70,33 @@ def test_table(spark):
     assert got == brute(rows, 100)
     docs = spark.createDataFrame([], DOCS)
     assert suffix.remove_repeats(docs).count() == 0
+
+
+@pytest.mark.parametrize("width", [3, 8, 20, 100])
+def test_radix_groups(width):
+    rng = np.random.default_rng(width)
+    data = rng.integers(97, 99, 4000, dtype=np.uint8)
+    data[2000:2600] = data[100:700]
+    data[3000:3300] = 97
+    begin = np.arange(len(data) - width + 1)
+    member, bucket = suffix.radix_groups(data, begin, width)
+    groups = {}
+    for i in begin.tolist():
+        groups.setdefault(data[i:i + width].tobytes(), []).append(i)
+    assert sorted(v for v in groups.values() if len(v) > 1) == sorted(sorted(member[bucket == b].tolist()) for b in set(bucket.tolist()))
+    assert [data[m:m + width].tobytes() for m in member] == sorted(data[m:m + width].tobytes() for m in member)
+
+
+def test_hot_passage(spark):
+    """One passage in a third of the rows, each time between other words: borders of one anchor everywhere."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    rng = random.Random(4)
+    passage = " ".join(rng.choice(["the", "and", "xy", "lorem"]) for _ in range(60))
+    rows = [(i, f"{rng.random()} {rng.random()} " + (passage if i % 3 == 0 else str(rng.random())) + f" {rng.random()} {rng.randrange(3)}")
+            for i in range(240)]
+    check(spark, rows, 100)
+    runs = spark.createDataFrame([(i, t.encode()) for i, t in rows], "doc long, text binary").selectExpr("doc", "0L text_hash", "text")
+    dealt = runs.mapInArrow(suffix._find_runs(100), suffix.RUN).filter("not settled")
+    # No anchor brings more than two rows of a batch, or one of each body, to its task.
+    assert dealt.groupBy("gram", F.spark_partition_id()).count().agg(F.max("count")).first()[0] <= 2 * 240 / 20
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
