@@ -7,8 +7,11 @@ A row for every suffix would be many times the text, so suffixes that share no w
 1. A window's anchor is the 32-byte gram in it whose scrambled hash is smallest (the leftmost such). Equal windows
    share it, and adjacent windows too, so that a run of about 35 windows is one row. Runs whose anchor occurs once are
    done, and of runs with the same anchor and bytes (64-bit hashes of both) the earliest goes on: the others repeat it.
-2. The windows of the runs that are left, different runs with a common anchor, are sorted by their bytes: block by
-   block in most-significant-digit passes, of which the earliest of equal windows goes on, then over the table.
+2. The different runs with a common anchor are cut to stretches whose windows have the anchor at nearly the same place,
+   first within a sixth of the width, then within a 25th. The bytes that all windows of a stretch would have take the
+   anchor's part: what is alone is done, equal stretches are settled as equal runs are.
+3. The windows that are left are sorted by their bytes: block by block in most-significant-digit passes, of which
+   the earliest of equal windows goes on, then over the table.
 
 Nothing hot meets in one task: equal runs of a batch and equal windows of a block send one row, and runs whose anchor has
 several bodies in a batch are dealt by their bytes, two of them also by anchor to tell the others. Sorted
@@ -23,10 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill.session import durable
@@ -99,6 +104,39 @@ def _parts(texts: list[bytes], width: int) -> Iterator[tuple[list[int], list[int
         yield rows, offsets, held
 
 
+def _dealt(gram, body, doc, hashed, start, n) -> pa.RecordBatch:
+    """Rows of `RUN`: runs dealt by gram, as far as the rows at hand do not settle them."""
+    # Of runs that are equal here the earliest goes on; the others are settled.
+    both = common.mix(gram.view(np.uint64)) ^ body.view(np.uint64)
+    by_value = np.argsort(both, kind="stable")
+    same = both[by_value][1:] == both[by_value][:-1]
+    often = by_value[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(both) else by_value
+    order = often[np.lexsort((start[often], hashed[often], doc[often], body[often], gram[often]))]
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = (gram[order][1:] != gram[order][:-1]) | (body[order][1:] != body[order][:-1])
+    lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
+    twin = (doc[order] == doc[lead]) & (hashed[order] == hashed[lead]) & (start[order] == start[lead])
+    settled = np.zeros(len(gram), dtype=bool)
+    settled[order[~twin]] = True
+    # Settled runs are dealt out by their own place.
+    place = common.mix(doc.view(np.uint64) * np.uint64(31) + hashed.view(np.uint64) + start.view(np.uint64))
+    deal = np.where(settled, place.view(np.int64), gram)
+    # Runs known here to share their gram with others are dealt by their bytes, two of each gram by both.
+    left = np.flatnonzero(~settled)
+    left = left[np.lexsort((body[left], gram[left]))]
+    new = np.concatenate([[True], gram[left][1:] != gram[left][:-1]]) if len(left) else np.zeros(0, dtype=bool)
+    last = np.concatenate([new[1:], [True]]) if len(left) else new
+    shared = left[~(new & last)]
+    deal[shared] = (common.mix(gram[shared].view(np.uint64)) ^ body[shared].view(np.uint64)).view(np.int64)
+    known = np.zeros(len(gram), dtype=bool)
+    known[shared] = True
+    told = left[new ^ last]
+    take = np.concatenate([np.arange(len(gram)), told])
+    return common.table({"gram": np.concatenate([deal, gram[told]]), "body": body[take], "doc": doc[take], "text_hash": hashed[take],
+                         "start": start[take], "n": n[take], "settled": settled[take],
+                         "known": np.concatenate([known, np.zeros(len(told), dtype=bool)])}, _RUN)
+
+
 def _find_runs(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,39 +146,9 @@ def _find_runs(width: int):
             for rows, offsets, parts in _parts(texts, width):
                 text, start, n, gram, body = runs_of(parts, width)
                 found.append((np.array(rows)[text], np.array(offsets)[text] + start, n, gram.view(np.int64), body.view(np.int64)))
-            if not found:
-                continue
-            row, start, n, gram, body = map(np.concatenate, zip(*found))
-            doc, hashed = doc[row], hashed[row]
-            # Of runs that are equal within the batch the earliest goes on; the others are settled.
-            both = common.mix(gram.view(np.uint64)) ^ body.view(np.uint64)
-            by_value = np.argsort(both, kind="stable")
-            same = both[by_value][1:] == both[by_value][:-1]
-            often = by_value[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(both) else by_value
-            order = often[np.lexsort((start[often], hashed[often], doc[often], body[often], gram[often]))]
-            first = np.ones(len(order), dtype=bool)
-            first[1:] = (gram[order][1:] != gram[order][:-1]) | (body[order][1:] != body[order][:-1])
-            lead = order[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(order) else order
-            twin = (doc[order] == doc[lead]) & (hashed[order] == hashed[lead]) & (start[order] == start[lead])
-            settled = np.zeros(len(gram), dtype=bool)
-            settled[order[~twin]] = True
-            # Settled runs are dealt out by their own place.
-            place = common.mix(doc.view(np.uint64) * np.uint64(31) + hashed.view(np.uint64) + start.view(np.uint64))
-            deal = np.where(settled, place.view(np.int64), gram)
-            # Runs known here to share their anchor with others are dealt by their bytes, two of each anchor by both.
-            left = np.flatnonzero(~settled)
-            left = left[np.lexsort((body[left], gram[left]))]
-            new = np.concatenate([[True], gram[left][1:] != gram[left][:-1]]) if len(left) else np.zeros(0, dtype=bool)
-            last = np.concatenate([new[1:], [True]]) if len(left) else new
-            shared = left[~(new & last)]
-            deal[shared] = (common.mix(gram[shared].view(np.uint64)) ^ body[shared].view(np.uint64)).view(np.int64)
-            known = np.zeros(len(gram), dtype=bool)
-            known[shared] = True
-            told = left[new ^ last]
-            take = np.concatenate([np.arange(len(gram)), told])
-            yield common.table({"gram": np.concatenate([deal, gram[told]]), "body": body[take], "doc": doc[take], "text_hash": hashed[take],
-                                "start": start[take], "n": n[take], "settled": settled[take],
-                                "known": np.concatenate([known, np.zeros(len(told), dtype=bool)])}, _RUN)
+            if found:
+                row, start, n, gram, body = map(np.concatenate, zip(*found))
+                yield _dealt(gram, body, doc[row], hashed[row], start, n)
 
     return run
 
@@ -181,6 +189,42 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield common.table(rows | {"open": np.concatenate([np.full(len(p[0]), o) for p, o in parts])}, _BUCKET)
 
 
+def stretches(data: np.ndarray, base: np.ndarray, n: np.ndarray, width: int, step: int) -> tuple[np.ndarray, ...]:
+    """(run, first window, windows, gram, body) of the stretches of runs of n windows that start at `base` in `data`.
+
+    Windows of a stretch have the anchor at one of `step` neighbouring places. `gram` is the hash of the bytes that
+    all windows with the anchor at these places have, `body` that of the bytes of the stretch's own windows.
+    """
+    gram = min(GRAM, width)
+    rolling = common.RollingHash(data)
+    grams = common.mix(rolling.windows(gram)) & ~_AT
+    anchor = np.zeros(len(base), dtype=np.int64)
+    for at in range(0, len(base), 4000):
+        anchor[at:at + 4000] = np.argmin(grams[base[at:at + 4000, None] + np.arange(width - gram + 1)], axis=1)
+    # Windows of a run have their anchor at `anchor` down to `anchor - n + 1`.
+    low, high = (anchor - n + 1) // step, anchor // step
+    times = high - low + 1
+    run = np.repeat(np.arange(len(base)), times)
+    k = np.arange(len(run)) - np.repeat(np.cumsum(times) - times, times) + low[run]
+    first = np.maximum(0, anchor[run] - k * step - step + 1)
+    count = np.minimum(n[run] - 1, anchor[run] - k * step) - first + 1
+    begin = base[run] + anchor[run] - k * step
+    key = common.mix(rolling.slices(begin, begin + width - step + 1) + k.astype(np.uint64))
+    begin = base[run] + first
+    return run, first, count, key, common.mix(rolling.slices(begin, begin + count + width - 1))
+
+
+def _block_stretches(width: int, step: int):
+    def of_block(pieces: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        doc, hashed, start, n = (np.array(c, dtype=np.int64) for c in list(zip(*pieces))[:4])
+        data = np.frombuffer(b"".join(p[4] for p in pieces), dtype=np.uint8)
+        sizes = n + width - 1
+        run, first, count, key, body = stretches(data, np.cumsum(sizes) - sizes, n, width, step)
+        yield _dealt(key.view(np.int64), body.view(np.int64), doc[run], hashed[run], start[run] + first, count)
+
+    return of_block
+
+
 def radix_groups(data: np.ndarray, begin: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(member, bucket) of the windows data[b:b + width] that are not alone in their bucket, by bucket.
 
@@ -216,7 +260,7 @@ def _binary(data: np.ndarray, begin: np.ndarray, width: int) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(cells)])
 
 
-def _block_windows(pieces: list[tuple[int, int, int, int, bytes]], width: int) -> Iterator[pa.RecordBatch]:
+def _block_windows(width: int, pieces: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of a block as spans without a window, and the earliest of all its windows with their bytes."""
     doc, hashed, start, n = (np.array(c, dtype=np.int64) for c in list(zip(*pieces))[:4])
     data = np.frombuffer(b"".join(p[4] for p in pieces), dtype=np.uint8)
@@ -245,21 +289,23 @@ def _block_windows(pieces: list[tuple[int, int, int, int, bytes]], width: int) -
                             "start": start[some], "n": np.ones(len(some), dtype=np.int64)}, _WINDOW)
 
 
-def _windows(width: int):
+def _bodies(width: int, of_block):
+    """Applies `of_block` to blocks of (doc, text_hash, start, n, bytes) of the listed runs of texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for doc, hashed, text, runs in zip(*(batch.column(c) for c in ("doc", "text_hash", "text", "runs"))):
-                text = text.as_py()
-                for run in runs.as_py():
-                    body = text[run["start"]:run["start"] + run["n"] + width - 1]
-                    held.append((doc.as_py(), hashed.as_py(), run["start"], run["n"], body))
+                doc, hashed, text = doc.as_py(), hashed.as_py(), text.as_py()
+                for start, n in zip(runs.values.field("start").to_numpy().tolist(), runs.values.field("n").to_numpy().tolist()):
+                    body = text[start:start + n + width - 1]
+                    held.append((doc, hashed, start, n, body))
                     size += len(body)
                     if size > common.BLOCK_BYTES:
-                        yield from _block_windows(held, width)
+                        yield from of_block(held)
                         held, size = [], 0
         if held:
-            yield from _block_windows(held, width)
+            yield from of_block(held)
 
     return run
 
@@ -308,20 +354,44 @@ def _cut(width: int):
     return run
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside leave no shuffle files behind: nobody reads those again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def repeated_spans(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc, text_hash, start, n): n windows from byte `start` on that also start earlier.
 
     `rows` has doc, text_hash and the text as bytes; other columns are only passed to the join.
     """
-    runs = rows.mapInArrow(_find_runs(width), RUN).repartition("gram")
-    runs = runs.sortWithinPartitions("gram", "settled", "body", "doc", "text_hash", "start")
-    buckets = durable(runs.mapInArrow(_buckets, BUCKET))
-    # A run that was dealt twice counts once.
-    listed = buckets.filter("open").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    found = rows.join(listed, ["doc", "text_hash"]).select(*rows.columns, "runs").mapInArrow(_windows(width), WINDOW)
+
+    def settle(runs: DataFrame) -> DataFrame:
+        runs = runs.repartition("gram").sortWithinPartitions("gram", "settled", "body", "doc", "text_hash", "start")
+        return runs.mapInArrow(_buckets, BUCKET)
+
+    def bodies(buckets: DataFrame, of_block, schema: str) -> DataFrame:
+        # A run that was dealt twice counts once.
+        listed = buckets.filter("open").groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+        return rows.join(listed, ["doc", "text_hash"]).select(*rows.columns, "runs").mapInArrow(_bodies(width, of_block), schema)
+
+    with shuffles_dropped(rows.sparkSession):
+        levels = [durable(settle(rows.mapInArrow(_find_runs(width), RUN)))]
+    for share in (6, 25):
+        levels.append(settle(bodies(levels[-1], _block_stretches(width, max(1, width // share)), RUN)))
+    found = bodies(levels[-1], partial(_block_windows, width), WINDOW)
     found = found.repartition(F.when(F.col("window").isNull(), F.hash("doc", "text_hash", "start")).otherwise(F.hash("window")))
     found = found.sortWithinPartitions("window", "doc", "text_hash", "start")
-    return buckets.filter("not open").select("doc", "text_hash", "start", "n").unionByName(found.mapInArrow(_neighbours, SPAN))
+    spans = found.mapInArrow(_neighbours, SPAN)
+    for buckets in levels:
+        spans = spans.unionByName(buckets.filter("not open").select("doc", "text_hash", "start", "n"))
+    return spans
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -329,7 +399,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
                        F.col("text").cast("binary").alias("text"))
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    # Both joins of the texts take all columns of `rows`, so that one shuffle of the texts serves them.
+    # All joins of the texts take all columns of `rows`, so that one shuffle of the texts serves all.
     spans = repeated_spans(rows, width)
     by_doc = spans.groupBy("doc", "text_hash").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts"))
     joined = rows.join(by_doc, ["doc", "text_hash"], "left").select("doc_id", "text", "starts", "counts")
