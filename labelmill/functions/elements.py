@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill.functions import html as H
 
@@ -93,28 +94,42 @@ def walk(page: str, by_tag: dict[str | None, list[Mark]]) -> list[list]:
     return rows
 
 
-def elements(html: Column, marks: list[Mark]) -> Column:
-    """The marked elements of a page; null without a page."""
+#: Elements of a batch of pages: a batch ends with the page that reaches them.
+BATCH_ELEMENTS = 20_000
+
+
+def _struct(rows: list[list]) -> pa.StructArray:
+    columns = zip(*rows) if rows else [[]] * len(_FIELDS)
+    return pa.StructArray.from_arrays([pa.array(c, type=kind) for c, (_, kind) in zip(columns, _FIELDS)],
+                                      fields=[pa.field(name, kind) for name, kind in _FIELDS])
+
+
+def with_elements(pages: DataFrame, html: str, marks: list[Mark]) -> DataFrame:
+    """Adds `elements`, the marked elements of a page; null without a page.
+
+    Batches are cut by their number of elements, so a worker holds the elements of a few pages however many there are.
+    """
     by_tag: dict[str | None, list[Mark]] = {}
     for mark in marks:
         by_tag.setdefault(mark.tag, []).append(mark)
     anywhere = by_tag.get(None, [])
     by_tag = {tag: found + (anywhere if tag else []) for tag, found in by_tag.items()}
 
-    @F.arrow_udf(f"array<{ELEMENT}>")
-    def read(pages: pa.Array) -> pa.Array:
-        rows: list[list] = []
-        offsets: list[int | None] = []
-        for page in pages:
-            offsets.append(len(rows) if page.is_valid else None)
-            if page.is_valid:
-                rows += walk(page.as_py(), by_tag)
-        columns = zip(*rows) if rows else [[]] * len(_FIELDS)
-        struct = pa.StructArray.from_arrays([pa.array(c, type=kind) for c, (_, kind) in zip(columns, _FIELDS)],
-                                            fields=[pa.field(name, kind) for name, kind in _FIELDS])
-        return pa.ListArray.from_arrays(pa.array([*offsets, len(rows)], type=pa.int32()), struct)
-
-    return read(html)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, rows, offsets = 0, [], []
+            for at, page in enumerate(batch.column(html), 1):
+                offsets.append(len(rows) if page.is_valid else None)
+                if page.is_valid:
+                    rows += walk(page.as_py(), by_tag)
+                if len(rows) >= BATCH_ELEMENTS or at == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array([*offsets, len(rows)], type=pa.int32()), _struct(rows))
+                    part = batch.slice(first, at - first)
+                    yield pa.RecordBatch.from_arrays([*part.columns, lists], [*batch.schema.names, "elements"])
+                    first, rows, offsets = at, [], []
+
+    added = T.StructType.fromDDL(f"elements array<{ELEMENT}>")
+    return pages.mapInArrow(read, T.StructType([*pages.schema.fields, *added.fields]))
 
 
 # --- reading the array ---

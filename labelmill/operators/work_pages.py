@@ -61,7 +61,7 @@ def read(pages: DataFrame) -> DataFrame:
     def shown(e: Column) -> Column:
         return F.when(e["sign"] == "author", F.regexp_extract(e["raw"], r"(?s)^\s*([^<]*)", 1)).otherwise(e["raw"])
 
-    found = pages.withColumn("elements", E.elements(_html(), MARKS))
+    found = E.with_elements(pages, "html", MARKS)
 
     def directly(sign: str, holder: Column) -> Column:
         return H.let(holder, lambda h: F.exists(E.inside(E.of(_all(), sign), h), lambda e: e["depth"] == h["depth"] + 1))

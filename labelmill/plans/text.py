@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as X
@@ -51,14 +54,36 @@ def truncate_tokens(spark, sf):
         "doc_id", "t.kept", "t.dropped", "t.padded")
 
 
+#: Terms that a worker counts before it hands them on.
+COUNTED_TERMS = 500_000
+
+
+def _count_grams(batches):
+    """Batches of token lists to batches of (term, count) over many documents at a time."""
+    counts = Counter()
+
+    def counted():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "count"])
+
+    for batch in batches:
+        for tokens in batch.column(0):
+            if tokens.is_valid:
+                words = tokens.values.to_numpy(zero_copy_only=False).tolist()
+                counts.update(words)
+                counts.update(map(" ".join, zip(words, words[1:])))
+                counts.update(map(" ".join, zip(words, words[1:], words[2:])))
+            if len(counts) > COUNTED_TERMS:
+                yield counted()
+                counts.clear()
+    yield counted()
+
+
 def ngrams(spark, sf):
-    """The 1,000 most frequent n-grams of one to three tokens."""
-    grams = _tokens(spark, sf).select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("n"), X.ngrams(F.col("tokens"), n).alias("grams")) for n in (1, 2, 3)])))
+    """The 1,000 most frequent n-grams of one to three tokens. Tokens hold no space, so a term says its n."""
+    grams = _tokens(spark, sf).select("tokens").mapInArrow(_count_grams, "term string, count long")
     return (
-        grams.select("n", F.explode_outer("grams").alias("term")).filter(F.col("term").isNotNull())
-        .groupBy("n", "term")
-        .agg(F.count("*").alias("count"))
+        grams.groupBy("term").agg(F.sum("count").alias("count"))
+        .select((F.length("term") - F.length(F.replace("term", F.lit(" "))) + 1).alias("n"), "term", "count")
         .orderBy(F.col("count").desc(), "n", "term").limit(TOP_NGRAMS)
     )
 

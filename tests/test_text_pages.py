@@ -1,13 +1,17 @@
 import datetime
 import json
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from labelmill.functions import elements
 from labelmill.functions import html as H
 from labelmill.functions import scalars
 from labelmill.functions import text as X
 from labelmill.operators import hydrate, pages, threads, work_pages
 from labelmill.operators.prepare import prepare_works
+from labelmill.plans import text as text_plan
 
 
 def one(spark, value, expression, kind="string"):
@@ -231,3 +235,21 @@ def test_prepare(spark):
         "work_id string, text array<string>, warnings_fine_open array<string>, warnings_coarse_open array<string>")
     row = prepare_works(works, "warnings_coarse_open").first()
     assert row["text"] == "hi   two" and row["labels"] == [0, 0, 1, 0, 0, 0, 0]
+
+
+def test_elements_come_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(elements, "BATCH_ELEMENTS", 2)
+    pages = spark.createDataFrame([(i, None if i == 2 else "<p>a</p>" * i) for i in range(5)], "page_id long, html string").coalesce(1)
+    found = elements.with_elements(pages, "html", [elements.Mark("p", "p", keep=True)])
+    assert {r["page_id"]: None if r["elements"] is None else [e["raw"] for e in r["elements"]] for r in found.collect()} == {
+        0: [], 1: ["a"], 2: None, 3: ["a"] * 3, 4: ["a"] * 4}
+
+
+def test_grams_are_counted_over_documents(monkeypatch):
+    monkeypatch.setattr(text_plan, "COUNTED_TERMS", 4)
+    batch = pa.RecordBatch.from_arrays([pa.array([["a", "b"], None, [], ["a", "b", "c"], ["a"]])], ["tokens"])
+    total = Counter()
+    for part in text_plan._count_grams([batch]):
+        for term, count in zip(*[column.to_pylist() for column in part.columns]):
+            total[term] += count
+    assert total == {"a": 3, "b": 2, "a b": 2, "c": 1, "b c": 1, "a b c": 1}
