@@ -138,3 +138,24 @@ def test_licence_paragraphs(spark):
     assert want <= found and {f for f in found if f[1] in lines.values()} == want
     empty, least = licenses.train(spark, docs.limit(0), size=10)
     assert licenses.scan(docs.limit(0), empty, least).count() == 0
+
+
+def test_labels_of_pages_follow_no_switch_by_size(monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("aligned up to a size only")
+
+    wrapper = wrappers.Wrapper(wrappers.infer(["<article><p>a</p></article>"]))
+    monkeypatch.setattr(wrappers, "SequenceMatcher", refuse)
+    for n in (1, 3000):
+        signs, _ = wrappers.read_tokens("<nav>x</nav><article>" + "<h2>t</h2><p>a</p>" * n + "</article><footer>f</footer>")
+        assert wrapper.labels(signs) == wrappers.places(signs, wrapper.shown)
+
+
+def test_licences_are_learned_from_every_paragraph(spark):
+    lines = [f"line {i} of the text" for i in range(300)] + ["Released under the MIT License."] * 100
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string")
+    found = licenses._examples(docs, 40).collect()
+    assert len(found) == 400 and {r["label"] for r in found if "MIT" in r["paragraph"]} == {float(licenses.FAMILIES.index("mit"))}
+    for part in (0, 1):
+        for mit in (True, False):
+            assert sum(r["weight"] for r in found if r["part"] == part and ("MIT" in r["paragraph"]) == mit) == pytest.approx(10)
