@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from labelmill.functions.scalars import blank_to_null
 
 # Elements whose content is never shown.
-HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<head\b[^>]*>.*?</head>"
+HIDDEN = r"(?is)<(?:!--.*?-->|script\b[^>]*>.*?</script>|style\b[^>]*>.*?</style>|head\b[^>]*>.*?</head>)"
 # Tags inside a line of text: they separate nothing.
 INLINE = (r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|del|dfn|em|font|i|ins|kbd|mark|q|s|samp|small|span|"
           r"strike|strong|sub|sup|tt|u|var)(?:\s[^>]*)?>")
 # A tag starts with a letter, a slash or a sign; any other `<` is text.
-TAG = r"(?s)</?[A-Za-z][^>]*>|<[!?][^>]*>"
-SPACES = r"\s+"
+TAG = r"<(?:/?[A-Za-z]|[!?])[^>]*+>"
+# Runs of white space that are not one space already.
+SPACES = r"[\t\n\x0B\f\r]\s*+| \s++"
 
 # All named references of the standard; those that may stand without a semicolon, longest first, so that
 # the longest name wins.
@@ -42,7 +43,7 @@ def _literal_map(values: dict, kind: str) -> Column:
 
 
 #: Named references lie in this many short strings, by a checksum of their name.
-DRAWERS = 128
+DRAWERS = 2048
 
 
 def _named(name: Column) -> Column:
@@ -56,19 +57,26 @@ def _named(name: Column) -> Column:
     # One constant that is split once, when the plan is optimised.
     shelf = F.split(F.lit("\x03".join(d + "\x01" for d in drawers)), "\x03")
     drawer = F.element_at(shelf, (F.crc32(name.cast("binary")) % DRAWERS + 1).cast("int"))
-    behind = F.call_function("substring_index", drawer, F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(-1))
-    return F.when(F.length(behind) < F.length(drawer), F.substring_index(behind, "\x01", 1))
+
+    def found(drawer: Column) -> Column:
+        behind = F.call_function("substring_index", drawer, F.concat(F.lit("\x01"), name, F.lit("\x02")), F.lit(-1))
+        return let(behind, lambda b: F.when(F.length(b) < F.length(drawer), F.substring_index(b, "\x01", 1)))
+
+    return let(drawer, found)
 
 
 def _code_point(digits: Column, base: int) -> Column:
     """Character of a code in digits; null when there is none."""
-    short = F.regexp_replace(digits, "^0+", "")
-    code = F.when(F.length(short) <= 8, F.conv(short, base, 10).cast("bigint"))
-    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     renamed = _literal_map({str(code): c for code, c in RENAMED.items() if c != "�"}, "map<string,string>")
-    return (F.when(code.between(0x80, 0x9F), F.coalesce(renamed[code.cast("string")], character))
-            .when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), character)
-            .otherwise(F.lit("�")))
+
+    def character(code: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when(code.between(0x80, 0x9F), F.coalesce(renamed[code.cast("string")], plain))
+                .when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), plain)
+                .otherwise(F.lit("�")))
+
+    return let(let(F.ltrim(digits, F.lit("0")), lambda short: F.when(
+        F.length(short) <= 8, F.conv(short, base, 10).cast("bigint"))), character)
 
 
 def decode_entities(text: Column) -> Column:
@@ -77,12 +85,15 @@ def decode_entities(text: Column) -> Column:
     What a reference gives is never read again. Unknown names stay as they are; codes without a
     character give U+FFFD.
     """
-    def one(piece: Column) -> Column:
-        body = F.regexp_replace(F.substring(piece, 2, 1 << 20), ";$", "")
-        number = F.when(piece.rlike("^&#[xX]"), _code_point(F.substring(body, 3, 1 << 20), 16)).otherwise(
+    # What is named more than once is bound first: an expression is worked out again wherever it stands.
+    def number(body: Column) -> Column:
+        return F.when(body.rlike("^#[xX]"), _code_point(F.substring(body, 3, 1 << 20), 16)).otherwise(
             _code_point(F.substring(body, 2, 1 << 20), 10))
-        return F.when(~piece.startswith("&") | (F.length(piece) == 1), piece).when(
-            piece.startswith("&#"), number).otherwise(F.coalesce(_named(body), piece))
+
+    def one(piece: Column) -> Column:
+        body = F.rtrim(F.substring(piece, 2, 1 << 20), F.lit(";"))
+        return F.when(~piece.startswith("&") | (F.length(piece) == 1), piece).otherwise(let(body, lambda b: F.when(
+            b.startswith("#"), number(b)).otherwise(F.coalesce(_named(b), piece))))
 
     def decoded(value: Column) -> Column:
         pieces = F.regexp_extract_all(value, F.lit(rf"{REFERENCE}|[^&]+|&"), F.lit(0))

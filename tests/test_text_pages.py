@@ -253,3 +253,16 @@ def test_grams_are_counted_over_documents(monkeypatch):
         for term, count in zip(*[column.to_pylist() for column in part.columns]):
             total[term] += count
     assert total == {"a": 3, "b": 2, "a b": 2, "c": 1, "b c": 1, "a b c": 1}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_references_are_looked_up_once_each(spark):
+    frame = spark.createDataFrame([("&amp;eacute; &eacute &#233;&#xe9; &#00065; &#0; &#x110000; &#146; &nope; &;& &amp",)], "t string")
+    text = frame.select(H.decode_entities(F.col("t")).alias("t"))
+    assert _plan(text).count("crc32(") == 1
+    assert text.first()["t"] == "&eacute; é éé A � � ’ &nope; &;& &"
+    spaces = frame.select(H.one_line(F.lit(" a  b\t c\n\n d\x0b e ")).alias("t"))
+    assert spaces.first()["t"] == "a b c d e"
