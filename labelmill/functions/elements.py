@@ -14,6 +14,7 @@ import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,37 +57,63 @@ class Mark:
         return self.but not in classes and (not self.cls or classes.issuperset(self.cls.split()))
 
 
-def walk(page: str, by_tag: dict[str | None, list[Mark]]) -> list[list]:
+#: Start tags whose attributes a task remembers, and how long a tag may be for that.
+KNOWN_TAGS, KNOWN_LENGTH = 4096, 256
+
+
+def tag_reader(by_tag: dict[str | None, list[Mark]]) -> Callable[[str, str], tuple]:
+    """What a start tag says, by its name and the text behind it: id, classes, link and the signs it fits.
+
+    Most tags of a page come again, so short ones are remembered; the memory of a task stays bounded.
+    """
+    anywhere = by_tag.get(None, [])
+
+    def read(name: str, text: str) -> tuple:
+        marks = by_tag.get(name, anywhere)
+        if not marks or not (text or name in by_tag):
+            return None, None, None, ()
+        own_class, own_id = _CLASS.search(text), _ID.search(text)
+        cls, ident = own_class and own_class[1], own_id and own_id[1]
+        classes = frozenset((cls or "").lower().split())
+        fitting = tuple((mark.sign, mark.keep) for mark in marks if mark.fits(ident, classes))
+        href = _HREF.search(text) if name == "a" and fitting else None
+        return ident, cls, href and href[1], fitting
+
+    known = lru_cache(KNOWN_TAGS)(read)
+    return lambda name, text: (known if len(text) < KNOWN_LENGTH else read)(name, text)
+
+
+def walk(page: str, read: Callable[[str, str], tuple]) -> list[list]:
     """Rows of `_FIELDS` for the marked elements of a page."""
     rows: list[list] = []
-    open_: dict[str, list[list[tuple[int, int]]]] = defaultdict(list)
-    anywhere, depth = by_tag.get(None, []), 0
+    # What is open, by tag name: for each element its places in `rows` and where its kept HTML starts, if anything.
+    open_: dict[str, list[list[tuple[int, int]] | None]] = defaultdict(list)
+    lists, depth = open_["ol"], 0
     for m in _TAGS.finditer(page):
-        name = m[3]
+        ends, name, text = m.group(2, 3, 4)
         if name is None:
             continue
         name = name.lower()
-        if m[2]:
-            depth = max(depth - 1, 0)
-            if open_[name]:
-                for at, inner in open_[name].pop():
-                    rows[at][_END], rows[at][_INSIDE] = m.end(), len(rows) - at - 1
+        if ends:
+            if depth:
+                depth -= 1
+            same = open_[name]
+            if same:
+                for at, inner in same.pop() or ():
+                    row = rows[at]
+                    row[_END], row[_INSIDE] = m.end(), len(rows) - at - 1
                     if inner:
-                        rows[at][_RAW] = page[inner:m.start()]
+                        row[_RAW] = page[inner:m.start()]
             continue
-        own: list[tuple[int, int]] = []
-        text, marks = m[4], by_tag.get(name, anywhere)
-        if marks and (text or name in by_tag):
-            own_class, own_id = _CLASS.search(text), _ID.search(text)
-            cls, ident = own_class and own_class[1], own_id and own_id[1]
-            classes = frozenset((cls or "").lower().split())
-            for mark in marks:
-                if mark.fits(ident, classes):
-                    href = _HREF.search(text) if name == "a" else None
-                    own.append((len(rows), m.end() if mark.keep else 0))
-                    rows.append([mark.sign, ident, cls, href and href[1], m[0], depth, len(open_["ol"]), m.start(), None, None, None])
+        ident, cls, href, fitting = read(name, text)
+        own: list[tuple[int, int]] | None = None
+        if fitting:
+            own, head, start, end = [], m[0], m.start(), m.end()
+            for sign, keep in fitting:
+                own.append((len(rows), end if keep else 0))
+                rows.append([sign, ident, cls, href, head, depth, len(lists), start, None, None, None])
         if name in _VOID or text.endswith("/"):
-            for at, _ in own:
+            for at, _ in own or ():
                 rows[at][_END], rows[at][_INSIDE] = m.end(), 0
         else:
             open_[name].append(own)
@@ -116,12 +143,13 @@ def with_elements(pages: DataFrame, html: str, marks: list[Mark]) -> DataFrame:
     by_tag = {tag: found + (anywhere if tag else []) for tag, found in by_tag.items()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tags = tag_reader(by_tag)
         for batch in batches:
             first, rows, offsets = 0, [], []
             for at, page in enumerate(batch.column(html), 1):
                 offsets.append(len(rows) if page.is_valid else None)
                 if page.is_valid:
-                    rows += walk(page.as_py(), by_tag)
+                    rows += walk(page.as_py(), tags)
                 if len(rows) >= BATCH_ELEMENTS or at == batch.num_rows:
                     lists = pa.ListArray.from_arrays(pa.array([*offsets, len(rows)], type=pa.int32()), _struct(rows))
                     part = batch.slice(first, at - first)

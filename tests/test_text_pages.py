@@ -266,3 +266,14 @@ def test_references_are_looked_up_once_each(spark):
     assert text.first()["t"] == "&eacute; é éé A � � ’ &nope; &;& &"
     spaces = frame.select(H.one_line(F.lit(" a  b\t c\n\n d\x0b e ")).alias("t"))
     assert spaces.first()["t"] == "a b c d e"
+
+
+def test_start_tags_that_come_again_are_read_once(monkeypatch):
+    seen = []
+    fits = elements.Mark.fits
+    monkeypatch.setattr(elements.Mark, "fits", lambda self, *a: seen.append(a) or fits(self, *a))
+    read = elements.tag_reader({"p": [elements.Mark("p", "p", "x")]})
+    rows = elements.walk("<p class='x'>a</p>" * 50 + "<p class='y'>b</p>" * 50, read)
+    assert len(rows) == 50 and len(seen) == 2
+    long = f"<p class='x' title='{'t' * elements.KNOWN_LENGTH}'>"
+    assert len(elements.walk(long * 3, read)) == 3 and len(seen) == 5
