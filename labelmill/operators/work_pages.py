@@ -165,23 +165,26 @@ def named_users(found: Column) -> Column:
 def stats(dds: Column) -> Column:
     """Shown texts of the language and the statistics of a page by name; null where one is missing."""
     names = F.array(*[F.lit(name) for name in ("language", *STATISTICS)])
-    texts = F.transform(names, lambda name: F.try_element_at(F.filter(dds, lambda e: _has(e, name)), F.lit(1))["text"])
+    texts = H.let(_classed(dds), lambda own: F.transform(names, lambda name: F.try_element_at(
+        F.filter(own, lambda e: F.array_contains(e["classes"], name)), F.lit(1))["e"]["text"]))
     return F.map_from_arrays(names, texts)
 
 
 def tags(dds: Column, found: Column) -> Column:
     """Tags as (name, path) by the name of their type; none where a page has no tags of a type."""
-    def listed(kind: Column) -> Column:
-        holders = F.filter(dds, lambda e: _has(e, F.lit("tags")) & _has(e, kind))
-        return F.coalesce(F.try_element_at(F.transform(holders, lambda h: E.links(E.inside(found, h))), F.lit(1)),
-                          F.array().cast("array<struct<name:string,path:string>>"))
+    def listed(own: Column, kind: Column) -> Column:
+        holder = F.try_element_at(F.filter(own, lambda e: F.array_contains(e["classes"], kind)), F.lit(1))
+        links = H.let(holder["e"], lambda h: F.when(h.isNotNull(), E.links(E.inside(found, h))))
+        return F.coalesce(links, F.array().cast("array<struct<name:string,path:string>>"))
 
+    tagged = F.filter(_classed(dds), lambda e: F.array_contains(e["classes"], F.lit("tags")))
     kinds, names = (F.array(*[F.lit(x) for x in xs]) for xs in (TAG_TYPES, TAG_TYPES.values()))
-    return F.map_from_arrays(names, F.transform(kinds, listed))
+    return F.map_from_arrays(names, H.let(tagged, lambda own: F.transform(kinds, lambda kind: listed(own, kind))))
 
 
-def _has(element: Column, cls: Column) -> Column:
-    return F.array_contains(F.split(F.lower(F.trim(element["cls"])), r"\s+"), cls)
+def _classed(found: Column) -> Column:
+    """Elements as (e, classes): the classes of each cut apart once, however many are asked for."""
+    return F.transform(found, lambda e: F.struct(e.alias("e"), F.split(F.lower(F.trim(e["cls"])), r"\s+").alias("classes")))
 
 
 def page_count(found: Column) -> Column:
@@ -211,7 +214,7 @@ def comments(found: Column, key: Column) -> Column:
 
     def user(p: Column) -> Column:
         link = F.try_element_at(E.links(E.inside(p["own"], p["author"])), F.lit(1))
-        return F.when(link.isNotNull(), link).otherwise(F.struct(
+        return F.coalesce(link, F.struct(
             F.nullif(p["author"]["text"], F.lit("")).alias("name"), F.lit(None).cast("string").alias("path")))
 
     def thread(p: Column) -> Column:

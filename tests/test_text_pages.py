@@ -277,3 +277,14 @@ def test_start_tags_that_come_again_are_read_once(monkeypatch):
     assert len(rows) == 50 and len(seen) == 2
     long = f"<p class='x' title='{'t' * elements.KNOWN_LENGTH}'>"
     assert len(elements.walk(long * 3, read)) == 3 and len(seen) == 5
+
+
+def test_classes_and_blank_dates_are_looked_at_once(spark):
+    from labelmill.functions.scalars import parse_clock
+    from labelmill.operators import work_pages
+
+    found = spark.createDataFrame([([],)], f"found array<struct<{elements.ELEMENT[7:-1]},text:string>>")
+    for field in (work_pages.tags(F.col("found"), F.col("found")), work_pages.stats(F.col("found"))):
+        assert "lambdafunction(struct(e, " in _plan(found.select(field))
+    texts = spark.createDataFrame([("",), (" ",), ("5 Mar 2020 03:14PM",)], "t string").select(parse_clock(F.col("t")).alias("at"))
+    assert [str(r["at"]) for r in texts.collect()] == ["None", "None", "2020-03-05 15:14:00"]
