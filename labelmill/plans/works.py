@@ -196,12 +196,20 @@ def _thread_pages(spark, sf):
 
 def comment_rows(spark, sf):
     """Comments in page order with their text and their parent's place. Half of the pages have no comment ids."""
-    rows = W.comment_rows(_thread_pages(spark, sf), "doc_id")
+    rows = W.comment_rows(_thread_pages(spark, sf), "doc_id").select(
+        "doc_id", "position", "comment_id", "parent_comment", F.md5(H.to_text(F.col("content"))).alias("md5"))
     in_page = Window.partitionBy("doc_id").orderBy("position")
     numbered = rows.withColumn("number", F.row_number().over(in_page))
-    parents = numbered.select("doc_id", F.col("comment_id").alias("parent_comment"), F.col("number").alias("parent_number"))
-    return numbered.join(parents, ["doc_id", "parent_comment"], "left").select(
-        "doc_id", "number", "parent_number", F.md5(H.to_text(F.col("content"))).alias("md5"))
+    # A comment stands once under its own id, as a parent, and once under its parent's: a join of the rows with
+    # themselves would read every page twice.
+    nothing = F.lit(None)
+    own = F.struct(F.when(F.col("doc_id").isNotNull(), F.col("comment_id")).alias("key"), F.col("number").alias("as_parent"),
+                   nothing.cast("int").alias("number"), nothing.cast("string").alias("md5"))
+    reply = F.struct(F.col("parent_comment").alias("key"), nothing.cast("int").alias("as_parent"), "number", "md5")
+    listed = numbered.select("doc_id", F.inline(F.array(own, reply)))
+    parents = F.collect_list("as_parent").over(Window.partitionBy("doc_id", "key"))
+    return listed.select("doc_id", "key", "number", "md5", F.when(F.col("key").isNotNull(), parents).alias("parents")).filter(
+        F.col("number").isNotNull()).select("doc_id", "number", F.explode_outer("parents").alias("parent_number"), "md5")
 
 
 def _comments(spark, sf):

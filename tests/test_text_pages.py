@@ -288,3 +288,20 @@ def test_classes_and_blank_dates_are_looked_at_once(spark):
         assert "lambdafunction(struct(e, " in _plan(found.select(field))
     texts = spark.createDataFrame([("",), (" ",), ("5 Mar 2020 03:14PM",)], "t string").select(parse_clock(F.col("t")).alias("at"))
     assert [str(r["at"]) for r in texts.collect()] == ["None", "None", "2020-03-05 15:14:00"]
+
+
+def test_comment_rows_read_every_page_once(spark):
+    from labelmill.plans import works
+
+    assert _plan(works.comment_rows(spark, "/root/testdata/sf0.001")).count("MapInArrow") == 1
+
+
+def test_comment_rows_match_parents_inside_a_page(spark, monkeypatch):
+    from labelmill.plans import works
+
+    rows = [(1, 1, "a", None), (1, 2, "b", "a"), (1, 3, "c", "gone"), (2, 1, "a", None), (2, 5, "d", "a"), (None, 1, "a", None), (None, 2, "e", "a")]
+    found = spark.createDataFrame([(*r, "text") for r in rows], "doc_id long, position int, comment_id string, parent_comment string, content string")
+    monkeypatch.setattr(works, "_thread_pages", lambda *_: None)
+    monkeypatch.setattr(works.W, "comment_rows", lambda *_: found)
+    got = sorted(((r.doc_id or 0, r.number, r.parent_number) for r in works.comment_rows(spark, "").collect()), key=str)
+    assert got == sorted([(1, 1, None), (1, 2, 1), (1, 3, None), (2, 1, None), (2, 2, 1), (0, 1, None), (0, 2, None)], key=str)
