@@ -159,3 +159,24 @@ def test_licences_are_learned_from_every_paragraph(spark):
     for part in (0, 1):
         for mit in (True, False):
             assert sum(r["weight"] for r in found if r["part"] == part and ("MIT" in r["paragraph"]) == mit) == pytest.approx(10)
+
+
+def test_licences_predict_a_paragraph_once_for_bound_and_rows(spark):
+    docs = spark.createDataFrame([(i, f"line {i} of it\nReleased under the MIT License.\nAll rights reserved {i}") for i in range(60)], "doc_id long, text string")
+    model, bound = licenses.train(spark, docs)
+    key = lambda r: (r.doc_id, r.paragraph_no, r.family, round(r.probability, 6), r.similarity, r.confirmed)
+    got = sorted(map(key, licenses.licences(spark, docs).collect()))
+    assert got == sorted(map(key, licenses.scan(docs, model, bound).collect())) and len(got) >= 60
+    plan = licenses._taken(docs, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(lower(") == 1
+
+
+def test_telling_words_miss_no_template(spark):
+    for template in sum(licenses.TEMPLATES.values(), []):
+        wanted = licenses._pairs_of(template)
+        without = [p for p in wanted if not set(p.split()) & set(licenses._telling_words())]
+        assert len(without) < licenses.CONFIRMED * len(wanted), template
+    rows = spark.createDataFrame([(t,) for t in [*sum(licenses.TEMPLATES.values(), []), "RELEASED under the mit LICENSE", "no such line"]], "paragraph string")
+    labels = {r["paragraph"]: r["label"] for r in licenses._labelled(rows).collect()}
+    assert all(labels[t] == licenses.FAMILIES.index(f) for f, own in licenses.TEMPLATES.items() for t in own)
+    assert labels["RELEASED under the mit LICENSE"] == licenses.FAMILIES.index("mit") and labels["no such line"] == 0
