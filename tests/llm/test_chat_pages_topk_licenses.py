@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import numpy as np
 import oracle
@@ -171,6 +172,36 @@ def test_licences_predict_a_paragraph_once_for_bound_and_rows(spark):
     assert plan.count("split(lower(") == 1
 
 
+def test_licences_fit_reads_written_vectors(spark, monkeypatch):
+    lines = "line {0} of it\r\n!!\rReleased under the MIT License.\n\nAll rights reserved {0}"
+    docs = spark.createDataFrame([(None if i == 7 else i, None if i == 9 else lines.format(i)) for i in range(60)], "doc_id long, text string")
+    fitted = []
+    fit = licenses.LogisticRegression.fit
+
+    def watched(self, rows):
+        fitted.append(rows)
+        return fit(self, rows)
+
+    monkeypatch.setattr(licenses.LogisticRegression, "fit", watched)
+    got = licenses.licences(spark, docs, 20).collect()
+    assert {(r.doc_id, r.paragraph_no) for r in got if r.family == "mit"} == {(None if i == 7 else i, 2) for i in range(60) if i != 9}
+    plan = fitted[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan and plan.count("split(lower(") == 1 and "parquet" in plan
+    # The lines without words count among those that share a weight.
+    part = licenses._examples(docs, 40).filter("part = 0").toPandas()
+    others = part[~part.paragraph.str.contains("MIT|rights")]
+    assert (others.paragraph == "!!").any() and len(others) > 10
+    weights = {round(r["weight"], 9) for r in fitted[0].filter("weight < 1").collect()}
+    assert weights == {round(10 / len(others), 9), round(10 / (len(part) - len(others)), 9)}
+
+
+def test_paragraphs_end_at_any_line_end(spark):
+    texts = ["a\r\nb\rc\nd", "\r\r\na\n\rb\r", "\n", "", None, "a\\nb", "x\u2028y\r\n\r\nz"]
+    got = licenses.paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = [(i, n, p) for i, t in enumerate(texts) if t is not None for n, p in enumerate(re.split("\r\n|\r|\n", t)) if p]
+    assert sorted((r.doc_id, r.paragraph_no, r.paragraph) for r in got) == want
+
+
 def test_telling_words_miss_no_template(spark):
     for template in sum(licenses.TEMPLATES.values(), []):
         wanted = licenses._pairs_of(template)
